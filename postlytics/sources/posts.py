@@ -75,11 +75,13 @@ def parse_tagged_posts(lines: DataFrame, fields=("user_id", "user_name", "user_d
     NULL where the JSON is missing or broken.
     """
     parts = lines.select(F.split("value", "\t").alias("part"))
-    parsed = parts.select(
+    words = [
         split_words(F.get("part", F.lit(0))).alias("tokens"),
         split_words(F.get("part", F.lit(1))).alias("tags"),
-        _parsed_json(F.get("part", F.lit(3)), fields).alias("post"),
-    )
+    ]
+    if not fields:
+        return parts.select(*words)
+    parsed = parts.select(*words, _parsed_json(F.get("part", F.lit(3)), fields).alias("post"))
     return parsed.select("tokens", "tags", *[_field(F.col("post"), f).alias(f) for f in fields])
 
 
