@@ -33,11 +33,15 @@ class KMeansFit(NamedTuple):
 
 
 def sample_centers(vectors: DataFrame, k: int, seed: str = "") -> DataFrame:
-    """``k`` vectors as centres, drawn without replacement by a hash of the author."""
+    """``k`` vectors as centres, drawn without replacement by a hash of the author.
+
+    Authors are drawn by id alone, so only the ``k`` chosen vectors move.
+    """
     drawn = F.md5(F.concat(F.lit(seed), F.col("user_id").cast("string")))
-    chosen = vectors.withColumn("drawn", drawn).orderBy("drawn").limit(k)
+    chosen = vectors.select("user_id", drawn.alias("drawn")).orderBy("drawn").limit(k)
     cid = F.row_number().over(Window.orderBy("drawn")) - 1
-    return chosen.select(cid.alias("cid"), "indices", "values")
+    numbered = chosen.select("user_id", cid.alias("cid"))
+    return vectors.join(F.broadcast(numbered), "user_id").select("cid", "indices", "values")
 
 
 def _entries(key: str, *extra: tuple[int, Column]) -> list[Column]:

@@ -1,0 +1,69 @@
+import pytest
+
+from postlytics.operators.clustering import center_entries
+from postlytics.sources.centers import read_centers, write_centers
+
+CENTERS = [(0, [0, 3], [0.5, 1.0e-4]), (1, [], []), (2, [2], [123456789.25]), (3, [1, 2], [0.1 + 0.2, 1e22])]
+
+
+def frame(spark):
+    return spark.createDataFrame(CENTERS, "cid int, indices array<int>, values array<double>")
+
+
+def rows(df):
+    return [tuple(r) for r in df.select("cid", "indices", "values").orderBy("cid").collect()]
+
+
+@pytest.mark.parametrize("form", ["table", "blocks", "lines"])
+def test_round_trip(spark, tmp_path, form):
+    path = str(tmp_path / form)
+    write_centers(frame(spark), path, form)
+    assert rows(read_centers(spark, path, form, k=4)) == CENTERS
+
+
+def test_block_dump_of_a_clustering_run(spark, tmp_path):
+    path = tmp_path / "centers.txt"
+    path.write_text(
+        "2876\nIteration 1: 0.5\nIteration 2: 0.05\nFinal centers:\n"
+        "==========\n0 0 0.5\n3 0 1.0E-4\n==========\n"
+        "==========\n==========\n"
+        "==========\n2 0 7\n==========\n"
+        "w_len = 2876\nAll users: 12\n"
+    )
+    found = rows(read_centers(spark, str(path), "blocks", k=3))
+    assert found == [(0, [0, 3], [0.5, 0.0001]), (1, [], []), (2, [2], [7.0])]
+
+
+def test_line_dump(spark, tmp_path):
+    path = tmp_path / "centers.txt"
+    path.write_text("SparseVector((0,1.0), (3,1.0E-4))\nSparseVector()\nSparseVector((12,2.5))\n")
+    found = rows(read_centers(spark, str(path), "lines"))
+    assert found == [(0, [0, 3], [1.0, 0.0001]), (1, [], []), (2, [12], [2.5])]
+
+
+def test_empty_last_center_of_a_line_dump(spark, tmp_path):
+    path = str(tmp_path / "c")
+    df = spark.createDataFrame([(0, [1], [1.0]), (1, [], [])], "cid int, indices array<int>, values array<double>")
+    write_centers(df, path, "lines")
+    assert rows(read_centers(spark, path, "lines", k=2)) == [(0, [1], [1.0]), (1, [], [])]
+
+
+def test_wrong_number_of_centers(spark, tmp_path):
+    path = str(tmp_path / "c")
+    write_centers(frame(spark), path, "lines")
+    with pytest.raises(ValueError, match="4 centres, not 30"):
+        read_centers(spark, path, "lines", k=30)
+
+
+def test_unknown_form(spark, tmp_path):
+    with pytest.raises(ValueError):
+        write_centers(frame(spark), str(tmp_path / "c"), "yaml")
+    with pytest.raises(ValueError):
+        read_centers(spark, str(tmp_path / "c"), "yaml")
+
+
+def test_zero_entries_are_not_written(spark, tmp_path):
+    df = spark.createDataFrame([(0, [1, 2], [0.0, 1.0])], "cid int, indices array<int>, values array<double>")
+    write_centers(df, str(tmp_path / "c"), "lines")
+    found = read_centers(spark, str(tmp_path / "c"), "lines")
+    assert [tuple(r) for r in center_entries(found).collect()] == [(0, 2, 1.0)]

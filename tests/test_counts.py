@@ -1,0 +1,40 @@
+from collections import Counter
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from postlytics.operators import counts
+
+
+def posts_of(spark, texts):
+    return spark.createDataFrame([(t.split(),) for t in texts], "tokens array<string>")
+
+
+def histogram(words):
+    return Counter(Counter(words).values())
+
+
+def test_word_histogram(spark):
+    texts = ["a a b", "b c", "", "A c c d"]
+    words = [w for t in texts for w in t.split()]
+    posts = posts_of(spark, texts)
+    found = counts.word_frequency_histogram(posts).collect()
+    assert [tuple(r) for r in found] == sorted(histogram(words).items())
+    assert counts.vocabulary_size(posts).first()[0] == len(set(words))
+    top = counts.word_frequency_histogram(posts, ascending=False, limit=1).collect()
+    assert [tuple(r) for r in top] == [max(histogram(words).items())]
+
+
+def test_user_histogram_is_descending(spark):
+    posts = spark.createDataFrame([(u,) for u in [0, 0, 1, 2, 2, 2, 3, None]], "user_id long")
+    found = counts.user_post_histogram(posts).collect()
+    assert [tuple(r) for r in found] == [(3, 1), (2, 1), (1, 2)]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=40))
+def test_histogram_totals(spark, keys):
+    df = spark.createDataFrame([(k,) for k in keys], "key long")
+    found = counts.count_histogram(df, "key").collect()
+    assert sum(r["n"] * r["keys"] for r in found) == len(keys)
+    assert sum(r["keys"] for r in found) == len(set(keys))
