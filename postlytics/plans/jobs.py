@@ -49,18 +49,17 @@ def word_frequency_histogram(
 def informative_words(
     spark: SparkSession, paths: Iterable[str], pair_count_above: int | None = None
 ) -> DataFrame:
-    """``(token, tag, jsd)``, least informative words first."""
-    posts = read_tagged_posts(spark, paths, [])
+    """``(token, tag, jsd)``, least informative words first.
+
+    Two passes need tokens and tags, so these are staged and the lines, mostly
+    JSON, are read once.
+    """
+    posts = cut_lineage(read_tagged_posts(spark, paths, []), "posts")
     return informativeness.informative_words(posts, pair_count_above=pair_count_above).orderBy(
         "jsd", "token", "tag"
     )
 
 
-def _profiles(spark, paths, min_posts, min_occurs) -> profiles.Profiles:
-    posts = read_tagged_posts(spark, paths, ["user_id"]).select("user_id", "tokens")
-    return profiles.build_profiles(posts, min_posts, min_occurs)
-
-
 def cluster_users(
     spark: SparkSession,
     paths: Iterable[str],
@@ -72,7 +71,8 @@ def cluster_users(
     seed: str = "",
 ) -> clustering.KMeansFit:
     """Cluster the active users; write the centres with ``sources.centers.write_centers``."""
-    found = _profiles(spark, paths, min_posts, min_occurs)
+    posts = read_tagged_posts(spark, paths, ["user_id"])
+    found = profiles.build_profiles(posts, min_posts, min_occurs)
     return clustering.fit(profiles.user_vectors(found), k, tol, max_iter, seed=seed)
 
 
@@ -90,7 +90,8 @@ def predict_users(
     min_occurs: int = profiles.MIN_OCCURS,
 ) -> DataFrame:
     """``(cid, user_id)``: the members of each saved centre."""
-    found = _profiles(spark, paths, min_posts, min_occurs)
+    posts = read_tagged_posts(spark, paths, ["user_id"])
+    found = profiles.build_profiles(posts, min_posts, min_occurs)
     return reports.cluster_members(_predictions(found, centers), centers)
 
 
@@ -102,10 +103,13 @@ def analyze_clusters(
     min_occurs: int = profiles.MIN_OCCURS,
     n: int = 100,
 ) -> tuple[DataFrame, DataFrame]:
-    """Top tokens and top users of each saved centre."""
-    paths = list(paths)
-    found = _profiles(spark, paths, min_posts, min_occurs)
+    """Top tokens and top users of each saved centre.
+
+    Words and names are needed in two passes, so the parsed posts are staged.
+    """
+    posts = cut_lineage(read_tagged_posts(spark, paths).drop("tags"), "posts")
+    found = profiles.build_profiles(posts, min_posts, min_occurs)
     return (
         reports.cluster_top_tokens(centers, found.vocabulary, n),
-        reports.cluster_top_users(_predictions(found, centers), read_tagged_posts(spark, paths), n),
+        reports.cluster_top_users(_predictions(found, centers), posts, n),
     )

@@ -165,7 +165,10 @@ UNION SELECT event_id FROM events WHERE event_type = 'view'""",
     "word_frequency_top": f"WITH {_DOCUMENT_WORDS} SELECT n, keys FROM histogram ORDER BY n DESC LIMIT 1000",
     "word_frequency_bottom": f"WITH {_DOCUMENT_WORDS} SELECT n, keys FROM histogram ORDER BY n LIMIT 1000",
     "document_frequency": f"WITH {_WORDS} SELECT token, tag, df FROM df",
-    "word_pair_counts": _pair_listing(),
+    "word_pair_counts": f"""
+SELECT token1, tag1, tag2, count(*) AS partners, sum(pair_count) AS pair_sum, max(pair_count) AS top_count,
+       sum(length(token2) * pair_count) AS letters
+FROM ({_pair_listing()}) GROUP BY token1, tag1, tag2""",
     "word_pair_counts_filtered": _pair_listing(LONG_TAIL),
     "word_pair_sums": f"""WITH {_pairs()}
 SELECT token, tag, partners, pair_sum

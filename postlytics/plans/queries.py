@@ -98,7 +98,18 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return informativeness.word_pair_counts(tables.line_posts(spark, sf_dir))
+    """All pairs, reported per first word and tag of the second.
+
+    Every pair is counted and named; the sums keep the report to a size that a
+    caller can collect, where the listing has millions of rows on small tables.
+    """
+    pairs = informativeness.word_pair_counts(tables.line_posts(spark, sf_dir))
+    return pairs.groupBy("token1", "tag1", "tag2").agg(
+        F.count("*").alias("partners"),
+        F.sum("pair_count").alias("pair_sum"),
+        F.max("pair_count").alias("top_count"),
+        F.sum(F.length("token2") * F.col("pair_count")).alias("letters"),
+    )
 
 
 def word_pair_counts_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 import json
+import os
 import random
 from collections import Counter
 
 import pytest
 
-from postlytics.operators.reports import cluster_sizes
+from postlytics.__main__ import main
 from postlytics.plans import jobs
 from postlytics.sources.centers import read_centers, write_centers
 
@@ -81,3 +82,34 @@ def test_no_files(spark):
     assert jobs.count_unique_words(spark, []).first()[0] == 0
     assert jobs.informative_words(spark, []).count() == 0
     assert jobs.cluster_users(spark, [], k=3).centers.count() == 0
+
+
+def read_report(path):
+    lines = []
+    for name in sorted(os.listdir(path)):
+        if name.startswith("part-"):
+            with open(os.path.join(path, name)) as lines_in:
+                lines += lines_in.read().splitlines()
+    return lines
+
+
+def test_command_line(spark, corpus, tmp_path):
+    posts, paths = corpus
+    out = str(tmp_path / "out")
+    prefix = paths["raw"][0][:-1]
+    for at, path in enumerate(paths["raw"]):
+        os.link(path, f"{prefix}{at:02d}")
+    main(["user-histogram", "--output", out, "--numbered", prefix, "0", "1"])
+    users = Counter(u for _, u, _ in posts)
+    expected = sorted(Counter(users.values()).items(), reverse=True)
+    assert read_report(out) == [f"{n}\t{keys}" for n, keys in expected]
+
+    limits = ["--min-posts", "7", "--min-occurs", "10"]
+    centers = str(tmp_path / "centers")
+    main(["cluster-users", "--output", centers, "--form", "lines", "--k", "2", *limits, *paths["tagged"]])
+    main(["predict-users", "--output", out, "--centers", centers, "--form", "lines", *limits, *paths["tagged"]])
+    members = [tuple(map(int, line.split("\t"))) for line in read_report(out)]
+    assert members == sorted(members) and len(members) == sum(n >= 7 for n in users.values())
+    main(["analyze-clusters", "--output", out, "--centers", centers, "--form", "lines", *limits, *paths["tagged"]])
+    assert all(line.count("\t") == 3 for line in read_report(f"{out}/tokens"))
+    assert len(read_report(f"{out}/users")) == len(members)
