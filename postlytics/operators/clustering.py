@@ -57,27 +57,40 @@ def center_entries(centers: DataFrame) -> DataFrame:
     return centers.select(*_entries("cid")).filter(F.col("value") != 0)
 
 
+class _Shape(NamedTuple):
+    """Number of centres, coordinates they span, and their summed move if they moved."""
+
+    k: int
+    width: int
+    moved: float
+
+
+def _shape(centers: DataFrame) -> _Shape:
+    moved = F.sum("moved") if "moved" in centers.columns else F.lit(0.0)
+    width = F.coalesce(F.max(F.array_max("indices")) + 1, F.lit(0))
+    return _Shape(*centers.agg(F.count("*"), width, F.coalesce(moved, F.lit(0.0))).first())
+
+
 def _center_matrix(centers: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Centre ids in order, and their coordinates as one row each."""
-    found = centers.select("cid", "indices", "values").orderBy("cid").toArrow().combine_chunks()
-    lengths = found["indices"].combine_chunks().value_lengths().to_numpy()
-    matrix = np.zeros((len(lengths), max(width, 1)))
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    index = found["indices"].combine_chunks().flatten().to_numpy()
-    matrix[row, index] = found["values"].combine_chunks().flatten().to_numpy()
+    found = centers.select("cid", "indices", "values").toArrow().sort_by("cid").combine_chunks()
+    indices, values = (found[name].combine_chunks() for name in ("indices", "values"))
+    row = np.repeat(np.arange(len(indices)), indices.value_lengths().to_numpy())
+    matrix = np.zeros((len(indices), max(width, 1)))
+    matrix[row, indices.flatten().to_numpy()] = values.flatten().to_numpy()
     return found["cid"].to_numpy(), matrix
 
 
 def assign(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     """Vectors with ``cid`` and ``distance2`` of their nearest centre, ties to the lowest id."""
-    shape = centers.agg(
-        F.count("*").alias("k"), F.coalesce(F.max(F.array_max("indices")) + 1, F.lit(0)).alias("width")
-    ).first()
-    if shape["k"] * shape["width"] > BROADCAST_COORDINATES:
+    return _assign(vectors, centers, _shape(centers))
+
+
+def _assign(vectors: DataFrame, centers: DataFrame, shape: _Shape) -> DataFrame:
+    if shape.k * shape.width > BROADCAST_COORDINATES:
         return assign_by_join(vectors, centers)
-    sent = vectors.sparkSession.sparkContext.broadcast(_center_matrix(centers, shape["width"]))
-    nearest = nearest_center(sent)("indices", "values")
-    found = vectors.withColumn("nearest", nearest)
+    sent = vectors.sparkSession.sparkContext.broadcast(_center_matrix(centers, shape.width))
+    found = vectors.withColumn("nearest", nearest_center(sent)("indices", "values"))
     return found.select(*vectors.columns, "nearest.cid", "nearest.distance2")
 
 
@@ -89,18 +102,18 @@ def assign_by_join(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     the whole bracket into one sum of products, and lets every vector meet every
     centre even where they share no word.
     """
-    half_norm = F.aggregate("values", F.lit(0.0), lambda total, v: total + v * v) / -2
+    norm = F.expr("aggregate(values, 0D, (total, v) -> total + v * v)")
     points = vectors.select(*_entries("user_id", (_UNIT, F.lit(1.0))))
-    targets = centers.select(*_entries("cid", (_UNIT, half_norm))).withColumnRenamed("value", "coordinate")
+    targets = centers.select(*_entries("cid", (_UNIT, norm / -2))).withColumnRenamed("value", "coordinate")
     products = (
         points.join(targets, "idx")
         .groupBy("user_id", "cid")
         .agg(F.sum(F.col("value") * F.col("coordinate")).alias("product"))
     )
-    norms = vectors.withColumn("norm", F.aggregate("values", F.lit(0.0), lambda total, v: total + v * v))
+    norms = vectors.select("user_id", norm.alias("norm"))
     distance2 = F.greatest(F.round(F.col("norm") - 2 * F.col("product"), DISTANCE_DIGITS), F.lit(0.0))
     nearest = (
-        products.join(norms.select("user_id", "norm"), "user_id")
+        products.join(norms, "user_id")
         .groupBy("user_id")
         .agg(F.min(F.struct(distance2.alias("distance2"), F.col("cid"))).alias("nearest"))
     )
@@ -114,7 +127,11 @@ def lloyd_step(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     vectors stays.  ``moved`` is the squared distance to the old centre.  Each
     vector adds a constant entry, whose sum is the size of its centre.
     """
-    points = assign(vectors, centers).select(*_entries("cid", (_UNIT, F.lit(1.0))))
+    return _step(vectors, centers, _shape(centers))
+
+
+def _step(vectors: DataFrame, centers: DataFrame, shape: _Shape) -> DataFrame:
+    points = _assign(vectors, centers, shape).select(*_entries("cid", (_UNIT, F.lit(1.0))))
     sums = points.select("cid", "idx", F.col("value").alias("sum"), F.lit(0.0).alias("old"))
     olds = centers.select(*_entries("cid", (_UNIT, F.lit(0.0))))
     olds = olds.select("cid", "idx", F.lit(0.0).alias("sum"), F.col("value").alias("old"))
@@ -126,19 +143,14 @@ def lloyd_step(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     grouped = entries.groupBy("cid").agg(
         size.cast("bigint").alias("size"), F.sort_array(F.collect_list(entry)).alias("entries")
     )
-    moves = F.transform(
-        "entries",
-        lambda e: F.struct(
-            e["idx"].alias("idx"),
-            F.when(F.col("size") > 0, e["sum"] / F.col("size")).otherwise(e["old"]).alias("value"),
-            e["old"].alias("old"),
-        ),
-    )
-    moved = F.aggregate(
-        "moves", F.lit(0.0), lambda total, e: total + (e["value"] - e["old"]) * (e["value"] - e["old"])
+    moves = F.expr(
+        """filter(
+             transform(entries, e -> struct(
+               e.idx AS idx, if(size > 0, e.sum / size, e.old) AS value, e.old AS old)),
+             e -> e.value != 0 OR e.old != 0)"""
     )
-    placed = grouped.select("cid", "size", F.filter(moves, lambda e: (e["value"] != 0) | (e["old"] != 0)).alias("moves"))
-    return placed.select(
+    moved = F.expr("aggregate(moves, 0D, (total, e) -> total + (e.value - e.old) * (e.value - e.old))")
+    return grouped.select("cid", "size", moves.alias("moves")).select(
         "cid",
         "size",
         F.col("moves.idx").alias("indices"),
@@ -162,10 +174,10 @@ def fit(
     vectors = cut_lineage(vectors, "vectors")
     start = sample_centers(vectors, k, seed) if centers is None else centers
     current = cut_lineage(start.select("cid", "indices", "values"), "centers")
-    iterations, delta = 0, 1.0
+    shape, iterations, delta = _shape(current), 0, 1.0
     while delta > tol and iterations < max_iter:
-        current = cut_lineage(lloyd_step(vectors, current), "centers")
-        delta = current.agg(F.sum("moved")).first()[0] or 0.0
-        iterations += 1
+        current = cut_lineage(_step(vectors, current, shape), "centers")
+        shape = _shape(current)
+        iterations, delta = iterations + 1, shape.moved
     columns = [c for c in ("cid", "size", "indices", "values") if c in current.columns]
     return KMeansFit(current.select(*columns), iterations, delta)

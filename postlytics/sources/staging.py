@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 from uuid import uuid4
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,14 +24,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
+    """A fresh path in the shared folder, removed when the driver program ends."""
     path = f"{shared_folder(spark)}/{label}-{uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    file_system = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    file_system.deleteOnExit(jvm_path)
+    atexit.register(_remove, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path)
     return path
 
 
+def _remove(file_system, jvm_path) -> None:
+    # The JVM may be gone already; then the folder's owner has to clear it.
+    with contextlib.suppress(Py4JError, ConnectionError):
+        file_system.delete(jvm_path, True)
+
+
 def cut_lineage(df: DataFrame, label: str = "staged") -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
