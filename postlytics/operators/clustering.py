@@ -22,6 +22,8 @@ from postlytics.sources.staging import cut_lineage
 BROADCAST_COORDINATES = 16_000_000
 # Index of the constant entry that carries a count or norm through a sum.
 _UNIT = -1
+# Indices over which constant entries are spread where vectors are joined by index.
+UNIT_PARTS = 256
 
 
 class KMeansFit(NamedTuple):
@@ -44,10 +46,11 @@ def sample_centers(vectors: DataFrame, k: int, seed: str = "") -> DataFrame:
     return vectors.join(F.broadcast(numbered), "user_id").select("cid", "indices", "values")
 
 
-def _entries(key: str, *extra: tuple[int, Column]) -> list[Column]:
+def _entries(key: str, extra_indices: Column | None = None, extra_values: Column | None = None) -> list[Column]:
     """``key, idx, value`` for each entry of a vector and for the extra entries."""
-    indices = F.concat("indices", F.array(*[F.lit(i) for i, _ in extra])) if extra else F.col("indices")
-    values = F.concat("values", F.array(*[v for _, v in extra])) if extra else F.col("values")
+    indices, values = F.col("indices"), F.col("values")
+    if extra_indices is not None:
+        indices, values = F.concat(indices, extra_indices), F.concat(values, extra_values)
     pairs = F.arrays_zip(indices.alias("idx"), values.alias("value"))
     return [F.col(key), F.inline(pairs).alias("idx", "value")]
 
@@ -100,11 +103,15 @@ def assign_by_join(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     With x the vector and c the centre, |x - c|^2 = |x|^2 - 2 (x.c - |c|^2 / 2).
     A constant entry of 1 in each vector and of -|c|^2 / 2 in each centre puts
     the whole bracket into one sum of products, and lets every vector meet every
-    centre even where they share no word.
+    centre even where they share no word.  That entry's index differs by author,
+    so it is no hot key; the adaptive planner splits those of frequent words.
     """
     norm = F.expr("aggregate(values, 0D, (total, v) -> total + v * v)")
-    points = vectors.select(*_entries("user_id", (_UNIT, F.lit(1.0))))
-    targets = centers.select(*_entries("cid", (_UNIT, norm / -2))).withColumnRenamed("value", "coordinate")
+    unit = _UNIT - F.pmod(F.xxhash64("user_id"), F.lit(UNIT_PARTS)).cast("int")
+    units = F.sequence(F.lit(_UNIT), F.lit(_UNIT - UNIT_PARTS + 1))
+    points = vectors.select(*_entries("user_id", F.array(unit), F.array(F.lit(1.0))))
+    targets = centers.select(*_entries("cid", units, F.array_repeat(norm / -2, UNIT_PARTS)))
+    targets = targets.withColumnRenamed("value", "coordinate")
     products = (
         points.join(targets, "idx")
         .groupBy("user_id", "cid")
@@ -131,9 +138,9 @@ def lloyd_step(vectors: DataFrame, centers: DataFrame) -> DataFrame:
 
 
 def _step(vectors: DataFrame, centers: DataFrame, shape: _Shape) -> DataFrame:
-    points = _assign(vectors, centers, shape).select(*_entries("cid", (_UNIT, F.lit(1.0))))
+    points = _assign(vectors, centers, shape).select(*_entries("cid", F.array(F.lit(_UNIT)), F.array(F.lit(1.0))))
     sums = points.select("cid", "idx", F.col("value").alias("sum"), F.lit(0.0).alias("old"))
-    olds = centers.select(*_entries("cid", (_UNIT, F.lit(0.0))))
+    olds = centers.select(*_entries("cid", F.array(F.lit(_UNIT)), F.array(F.lit(0.0))))
     olds = olds.select("cid", "idx", F.lit(0.0).alias("sum"), F.col("value").alias("old"))
     entries = (
         sums.unionByName(olds).groupBy("cid", "idx").agg(F.sum("sum").alias("sum"), F.sum("old").alias("old"))

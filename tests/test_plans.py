@@ -1,0 +1,88 @@
+"""Plans have the shape that holds at scale."""
+
+import os
+
+import pytest
+
+from postlytics.operators import clustering, counts, informativeness, profiles
+from postlytics.plans import tables
+from postlytics.sources.posts import read_raw_posts
+from postlytics.sources.staging import cut_lineage, shared_folder
+
+FOLDER = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@needs_tables
+def test_word_histogram_reads_one_column_and_combines_before_shuffles(spark):
+    text = plan(counts.word_frequency_histogram(tables.document_posts(spark, FOLDER)))
+    assert "ReadSchema: struct<text:string>" in text
+    assert text.count("partial_count(1)") == 2
+    assert text.count("split(") == 1
+
+
+def test_many_paths_are_one_scan(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / name).write_text('{"id":1,"user":{"id":2}}\n')
+    posts = read_raw_posts(spark, [str(tmp_path / n) for n in "ab"], ["user_id"])
+    text = plan(counts.user_post_histogram(posts))
+    assert text.count("FileScan text") == 1 and "Union" not in text
+    assert "text:string" not in text.split("FileScan")[0]
+
+
+@needs_tables
+def test_pairs_stay_in_the_engine_and_aggregate_once(spark):
+    posts = tables.line_posts(spark, FOLDER)
+    text = plan(informativeness.informative_words(posts))
+    assert "Python" not in text and "SortMergeJoin" not in text and "Cartesian" not in text
+    assert text.count("partial_sum(copies") == 1
+    assert text.count("zip_with") == 1
+
+
+@needs_tables
+def test_profiles_scan_posts_once(spark):
+    posts = tables.line_posts(spark, FOLDER)
+    text = plan(profiles.user_token_counts(posts))
+    assert text.count("FileScan") == 1 and text.count("partial_count(1)") == 1
+
+
+def test_assignment_is_narrow(spark):
+    vectors = spark.createDataFrame(
+        [(1, 7, [0], [1.0])], "user_id long, n_posts long, indices array<int>, values array<double>"
+    )
+    centers = spark.createDataFrame([(0, [0], [1.0])], "cid int, indices array<int>, values array<double>")
+    text = plan(clustering.assign(vectors, centers))
+    assert "Exchange" not in text and text.count("ArrowEvalPython") == 1
+
+
+def test_staged_tables_lie_in_the_shared_folder(spark):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    staged = cut_lineage(spark.range(3), "probe")
+    folder = shared_folder(spark)
+    assert before is None or folder == before.rstrip("/")
+    assert all(folder.removeprefix("file:") in name for name in staged.inputFiles())
+    assert staged.count() == 3
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Conf:
+        @staticmethod
+        def get(key, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context, Conf
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
