@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,24 +19,20 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANKS), "")
 
 
-def tagged_words(tokens: Column, tags: Column, make: Callable[[Column, Column], Column]) -> Column:
-    """``make(word, tag)`` for each token of one post.
+def distinct_words(tokens: Column, tags: Column) -> Column:
+    """Distinct words of one post.
 
     A word is the token in lower case, a tab and the tag, so the same spelling
     under two tags makes two words.  Tokens and tags pair by position and the
     longer list is cut to the shorter.
     """
     paired = F.least(F.size(tokens), F.size(tags))
-    return F.zip_with(
+    words = F.zip_with(
         F.slice(tokens, F.lit(1), paired),
         F.slice(tags, F.lit(1), paired),
-        lambda token, tag: make(F.concat(F.lower(token), F.lit("\t"), tag), tag),
+        lambda token, tag: F.concat(F.lower(token), F.lit("\t"), tag),
     )
-
-
-def distinct_words(tokens: Column, tags: Column) -> Column:
-    """Distinct words of one post."""
-    return F.array_distinct(tagged_words(tokens, tags, lambda word, tag: word))
+    return F.array_distinct(words)
 
 
 def word_tag(word: Column) -> Column:

@@ -40,7 +40,7 @@ def test_pairs_stay_in_the_engine_and_aggregate_once(spark):
     text = plan(informativeness.informative_words(posts))
     assert "Python" not in text and "SortMergeJoin" not in text and "Cartesian" not in text
     assert text.count("partial_sum(copies") == 1
-    assert text.count("zip_with") == 1
+    assert "zip_with" not in text  # posts were read once, into the merged table
 
 
 @needs_tables
