@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm import mixing, simhash
+from postlytics.llm import language, mixing, simhash, substrings
 from postlytics.llm.words import count_words
 
 
@@ -19,6 +19,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def held_out(doc_id: str = "doc_id") -> F.Column:
+    """Documents that language models may not learn from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit_languages(docs.filter(~held_out()))
+    found = language.predict_languages(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "known")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("size"))
     mixed = mixing.mix_sources(docs, size="size")
@@ -27,5 +44,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op4_substrings": op4_substrings,
+    "op6_language": op6_language,
     "op9_mixing": op9_mixing,
 }
