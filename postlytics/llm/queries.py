@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm import language, mixing, simhash, substrings
+from postlytics.llm import language, mixing, pii, simhash, substrings
 from postlytics.llm.words import count_words
 
 
@@ -36,6 +36,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "known")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find_pii(docs, pii.fit_field(docs))
+    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("size"))
     mixed = mixing.mix_sources(docs, size="size")
@@ -46,5 +52,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_substrings": op4_substrings,
     "op6_language": op6_language,
+    "op7_pii": op7_pii,
     "op9_mixing": op9_mixing,
 }
