@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm import language, mixing, pii, simhash, substrings
+from postlytics.llm import language, mixing, pii, secrets, simhash, substrings
 from postlytics.llm.words import count_words
 
 
@@ -48,10 +48,17 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secrets.fit_guess_cost(docs))
+    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_substrings": op4_substrings,
     "op6_language": op6_language,
     "op7_pii": op7_pii,
     "op9_mixing": op9_mixing,
+    "op10_secrets": op10_secrets,
 }
