@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm import language, mixing, pii, secrets, simhash, substrings
+from postlytics.llm import decontaminate, language, mixing, pii, secrets, simhash, substrings
 from postlytics.llm.words import count_words
 
 
@@ -42,6 +42,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("size"))
     mixed = mixing.mix_sources(docs, size="size")
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substrings": op4_substrings,
     "op6_language": op6_language,
     "op7_pii": op7_pii,
+    "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
 }
