@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm import decontaminate, html, language, mixing, pii, secrets, simhash, substrings
+from postlytics.llm import decontaminate, embeddings, html, language, mixing, pii, secrets, simhash, substrings
 from postlytics.llm.words import count_words
 
 
@@ -28,6 +28,10 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Documents that language models may not learn from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_simhash": op2_simhash,
     "op4_substrings": op4_substrings,
+    "op5_embeddings": op5_embeddings,
     "op6_language": op6_language,
     "op7_pii": op7_pii,
     "op8_decontaminate": op8_decontaminate,
