@@ -111,7 +111,12 @@ def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return owner[at], start[at], (reach - apart)[np.append(at[1:], len(owner)) - 1]
 
 
-_ANCHORS = "route long, whole long, doc long, digest long, at int, n int, known boolean"
+#: ``spot`` packs where windows start, how many they are, and whether they are settled: few bytes cross the shuffle.
+_ANCHORS = "route long, whole long, doc long, digest int, spot long"
+
+
+def _spot(at: np.ndarray, n: np.ndarray, known: bool) -> np.ndarray:
+    return (at.astype(np.int64) << 32) | (n.astype(np.int64) << 1) | int(known)
 
 
 def _find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,46 +147,60 @@ def _chunk_anchors(rows: list, words: list, size: list) -> pd.DataFrame:
     owner, start, end = merged(a["owner"][later], a["at"][later], (a["at"] + a["n"] + WINDOW - 1)[later])
     new = ~later
     doc, digest = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
-    known = pd.DataFrame(
-        {
-            # Settled spans are dealt out evenly, whatever they repeat.
-            "route": mix(digest[owner].view(np.uint64) + start.astype(np.uint64)).view(np.int64),
-            "whole": 0,
-            "doc": doc[owner],
-            "digest": digest[owner],
-            "at": start,
-            "n": end - start - (WINDOW - 1),
-            "known": True,
-        }
-    )
+    # Settled spans are dealt out evenly, whatever they repeat.
+    even = mix(digest[owner].astype(np.uint64) * ODD + start.astype(np.uint64)).view(np.int64)
+    n = end - start - (WINDOW - 1)
+    known = pd.DataFrame({"route": even, "whole": 0, "doc": doc[owner], "digest": digest[owner], "spot": _spot(start, n, True)})
+    a = {k: v[new] for k, v in a.items()}
+    back = np.lexsort((a["at"], a["owner"]))  # neighbours of one text compress well together
+    a = {k: v[back] for k, v in a.items()}
     open_ = pd.DataFrame(
         {
-            "route": a["key"][new].view(np.int64),
-            "whole": a["whole"][new].view(np.int64),
-            "doc": doc[a["owner"][new]],
-            "digest": digest[a["owner"][new]],
-            "at": a["at"][new],
-            "n": a["n"][new],
-            "known": False,
+            "route": a["key"].view(np.int64),
+            "whole": a["whole"].view(np.int64),
+            "doc": doc[a["owner"]],
+            "digest": digest[a["owner"]],
+            "spot": _spot(a["at"], a["n"], False),
         }
     )
     return pd.concat([open_, known], ignore_index=True)
 
 
 def _window_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Two hashes of every window asked for; ``again`` if the same text has an equal one before."""
+    """Two hashes of every window asked for; those that follow an equal one here are settled."""
     for batch in batches:
-        for doc, digest, text, asked in zip(batch["doc"], batch["digest"], batch["text"], batch["asked"], strict=True):
+        batch = batch.drop_duplicates(["doc", "digest"]).sort_values(["doc", "digest"])
+        parts = []
+        for row, (text, asked) in enumerate(zip(batch["text"], batch["asked"], strict=True)):
             words = hash_words(word_bytes(text))
             at = np.unique(np.concatenate([np.arange(x["at"], x["at"] + x["n"]) for x in asked]))
             one = span_hash(prefix_sums(words), at, at + WINDOW)
             two = span_hash(prefix_sums(mix(words ^ ODD_2)), at, at + WINDOW)
-            order = np.lexsort((at, two, one))
-            one, two, at = one[order], two[order], at[order]
-            again = np.concatenate(([False], (one[1:] == one[:-1]) & (two[1:] == two[:-1])))
-            yield pd.DataFrame(
-                {"one": one.view(np.int64), "two": two.view(np.int64), "doc": doc, "digest": digest, "at": at, "again": again}
-            )
+            parts.append((one, two, np.full(len(at), row), at))
+        if not parts:
+            continue
+        one, two, row, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((at, row, two, one))
+        one, two, row, at = one[order], two[order], row[order], at[order]
+        later = np.concatenate(([False], (one[1:] == one[:-1]) & (two[1:] == two[:-1])))
+        doc, digest = (batch[c].to_numpy()[row] for c in ("doc", "digest"))
+        even = mix(digest.astype(np.uint64) * ODD + at.astype(np.uint64))
+        spot = _spot(at, np.ones(len(at)), False) | later
+        yield pd.DataFrame(
+            {"route": np.where(later, even, one).view(np.int64), "whole": two.view(np.int64), "doc": doc, "digest": digest, "spot": spot}
+        )
+
+
+def _judged(spans: DataFrame) -> DataFrame:
+    """``spans`` with ``repeats``: settled, or behind one of an earlier text with equal hashes.
+
+    What a hash has most of was settled where it was found, so that a hash has a row for each batch at most.
+    """
+    by_hash = Window.partitionBy("route").orderBy("whole", "doc", "digest", "spot")
+    before = F.lag(F.struct("whole", "doc", "digest", "spot")).over(by_hash)
+    equal_row = (before["doc"] == F.col("doc")) & (before["digest"] == F.col("digest")) & (before["spot"] == F.col("spot"))
+    follows = F.coalesce((before["whole"] == F.col("whole")) & ~equal_row, F.lit(False))
+    return spans.withColumn("repeats", (F.col("spot").bitwiseAND(F.lit(1)) == 1) | follows)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -190,32 +209,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ``docs`` has doc, digest and text; a text is earlier if its doc, or else its
     digest, is smaller, and rows with equal doc and digest are one text.
     """
-    anchors = docs.mapInPandas(_find_anchors, _ANCHORS)
-    by_key = Window.partitionBy("route").orderBy("whole", "doc", "digest", "at")
-    before = F.lag(F.struct("whole", "doc", "digest", "at")).over(by_key)
-    follows = (before["whole"] == F.col("whole")) & ~(
-        (before["doc"] == F.col("doc")) & (before["digest"] == F.col("digest")) & (before["at"] == F.col("at"))
-    )
-    judged = anchors.withColumn("follows", F.coalesce(follows, F.lit(False)))
-    judged = judged.withColumn("firsts", F.sum((~F.col("follows")).cast("int")).over(Window.partitionBy("route")))
-    judged = judged.filter("known OR follows OR firsts > 1").select(
-        "doc", "digest", "at", "n", (F.col("known") | F.col("follows")).alias("repeats")
-    )
-    judged = cut_lineage(judged, "anchors")
+    anchors = _judged(docs.mapInPandas(_find_anchors, _ANCHORS))
+    anchors = anchors.withColumn("firsts", F.sum((~F.col("repeats")).cast("int")).over(Window.partitionBy("route")))
+    at, n = F.shiftright("spot", 32).cast("int"), F.shiftright(F.col("spot").bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int")
+    anchors = anchors.filter("repeats OR firsts > 1").select("doc", "digest", at.alias("at"), n.alias("n"), "repeats")
+    anchors = cut_lineage(anchors, "anchors")
     # What shares a key but not all words is compared window by window: the ends of repeated passages.
-    asked = judged.filter("NOT repeats").groupBy("doc", "digest").agg(F.collect_list(F.struct("at", "n")).alias("asked"))
-    texts = docs.dropDuplicates(["doc", "digest"]).join(asked, ["doc", "digest"])
-    schema = "one long, two long, doc long, digest long, at int, again boolean"
-    windows = cut_lineage(texts.select("doc", "digest", "text", "asked").mapInPandas(_window_hashes, schema), "windows")
-    fresh = windows.filter("NOT again")
-    earliest = fresh.groupBy("one", "two").agg(F.min("doc").alias("least"), F.count("*").alias("times")).filter("times > 1")
-    tied = fresh.join(earliest, ["one", "two"])
-    later = tied.filter("doc > least").select("doc", "digest", "at")
-    # Only where a doc_id is repeated can several texts share the smallest.
-    lowest = Window.partitionBy("one", "two", "doc")
-    rest = tied.filter("doc = least").withColumn("d", F.min("digest").over(lowest)).filter("digest > d")
-    single = later.unionByName(rest.select("doc", "digest", "at")).unionByName(windows.filter("again").select("doc", "digest", "at"))
-    return judged.filter("repeats").drop("repeats").unionByName(single.withColumn("n", F.lit(1)))
+    asked = anchors.filter("NOT repeats").groupBy("doc", "digest").agg(F.collect_list(F.struct("at", "n")).alias("asked"))
+    texts = docs.join(asked, ["doc", "digest"])
+    windows = _judged(texts.select("doc", "digest", "text", "asked").mapInPandas(_window_hashes, _ANCHORS))
+    windows = windows.filter("repeats").select("doc", "digest", at.alias("at"), F.lit(1).alias("n"))
+    return anchors.filter("repeats").drop("repeats").unionByName(windows)
 
 
 def _cut(text: str | None, spans) -> tuple[int, int, bytes]:
@@ -236,21 +240,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A word goes if a window of 20 words that covers it also starts earlier in
     the corpus; ``kept`` are the others, joined by one space. NULL and blank texts
     have no words; texts are read whole; texts under 20 words lose nothing. Rows
-    that repeat a doc_id go by a hash of their text, and rows equal in both are one
+    that repeat a doc_id go by a 32-bit hash of their text, and rows equal in both are one
     text, of which each gets the same result. A NULL doc_id comes before all
     others. An empty table gives an empty result; further columns are not read.
     """
-    keyed = docs.select(
-        "doc_id", F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), F.xxhash64("text").alias("digest"), "text"
-    )
-    spans = repeated_spans(keyed.select("doc", "digest", "text"))
+    keyed = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), F.hash("text").alias("digest"), "text")
+    spans = repeated_spans(keyed)
     spans = spans.groupBy("doc", "digest").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [_cut(t, s) for t, s in zip(batch["text"], batch["spans"], strict=True)]
             found = pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
-            yield found.assign(doc_id=batch["doc_id"].to_numpy(), kept=found["kept"].str.decode("utf-8"))
+            yield found.assign(doc_id=batch["doc_id"], kept=found["kept"].str.decode("utf-8"))
 
-    joined = keyed.join(spans, ["doc", "digest"], "left").select("doc_id", "text", "spans")
+    joined = keyed.join(spans, ["doc", "digest"], "left").select(F.nullif("doc", F.lit(_FIRST)).alias("doc_id"), "text", "spans")
     return joined.mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept string")
