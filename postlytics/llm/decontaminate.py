@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,7 +160,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
         yield block
 
 
-_MATCHES = "doc_id long, item_id long, edits int, start long"
+_MATCHES = "doc_id long, item_id long, edits long, start long"
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
@@ -176,16 +177,17 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDIT
     for block in item_blocks(benchmark):
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, edits))
 
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = [
-                    (doc, index.value.items[i][0], e, at)
-                    for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True)
-                    for i, (e, at) in index.value.matches(text).items()
+                    (doc.as_py(), index.value.items[i][0], e, at)
+                    for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True)
+                    for i, (e, at) in index.value.matches(text.as_py()).items()
                 ]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "start"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                columns = zip(*rows, strict=True) if rows else ((),) * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "item_id", "edits", "start"])
 
-        found = found.unionByName(docs.select("doc_id", "text").mapInPandas(run, _MATCHES))
+        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(run, _MATCHES))
     return found
 
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -200,22 +201,21 @@ def extract_text(pages: DataFrame) -> DataFrame:
     of a page without an article element. Further columns are not read; an empty table gives an empty result.
     """
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [page_lines(x) for x in batch["html"]]
+            found = [page_lines(x.as_py()) for x in batch.column("html")]
             doubtful = [[xxhash.xxh64_intdigest(t.encode()) - (1 << 63) for t, main in page if not main] for page in found]
-            yield pd.DataFrame(
-                {
-                    "page_id": batch["page_id"],
-                    "url": batch["url"],
-                    "lines": [[t for t, _ in page] for page in found],
-                    "sure": [[main for _, main in page] for page in found],
-                    "doubtful": doubtful,
-                }
-            )
+            columns = {
+                "page_id": batch.column("page_id"),
+                "url": batch.column("url").cast(pa.string()),
+                "lines": pa.array([[t for t, _ in page] for page in found], pa.list_(pa.string())),
+                "sure": pa.array([[main for _, main in page] for page in found], pa.list_(pa.bool_())),
+                "doubtful": pa.array(doubtful, pa.list_(pa.int64())),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
 
     schema = "page_id long, url string, lines array<string>, sure array<boolean>, doubtful array<long>"
-    parsed = pages.select("page_id", "url", "html").mapInPandas(lines, schema)
+    parsed = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(lines, schema)
     parsed = parsed.withColumn("page", F.concat_ws(" ", "page_id", F.hex(F.xxhash64("url", "lines"))))
     drop = cut_lineage(_site_lines(parsed.select("page", "url", "doubtful")), "drop")
     # The place of a doubtful line among the doubtful ones, -1 for all others.

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlytics.llm.words import ODD, ODD_2, mix
+from postlytics.llm.words import ODD, ODD_2, mix, per_text
 from postlytics.sources.staging import cut_lineage
 
 UNDETERMINED = "und"
@@ -135,10 +136,5 @@ def predict_languages(docs: DataFrame, model: LanguageFilters) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = pd.DataFrame([shared.value.predict(t) for t in batch["text"]], columns=["lang_pred", "score", "known"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, known double")
+    columns = {"lang_pred": pa.string(), "score": pa.float64(), "known": pa.float64()}
+    return per_text(docs, columns, lambda text: shared.value.predict(text))

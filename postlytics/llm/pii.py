@@ -18,10 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlytics.llm.spans import Span, joined
+from postlytics.llm.words import per_text
 
 KINDS = ["email", "ip", "card", "phone"]
 OTHER = len(KINDS)
@@ -289,21 +291,15 @@ def find_pii(docs: DataFrame, field: EntityField) -> DataFrame:
     get equal answers, an empty table none; further columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
+    counted = KINDS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shared.value.spans(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    **{f"n_{kind}": [sum(s.kind == kind for s in base) for base, _ in found] for kind in KINDS},
-                    "base": [joined(base, KINDS) for base, _ in found],
-                    "spans": [joined([*base, *added], KINDS) for base, added in found],
-                }
-            )
-
-    counts = ", ".join(f"n_{kind} long" for kind in KINDS)
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, {counts}, base string, spans string")
+    def find(text: str | None) -> tuple:
+        base, added = shared.value.spans(text)
+        numbers = [sum(s.kind == kind for s in base) for kind in counted]
+        return (*numbers, joined(base, KINDS), joined([*base, *added], KINDS))
+
+    columns = {f"n_{kind}": pa.int64() for kind in counted} | {"base": pa.string(), "spans": pa.string()}
+    return per_text(docs, columns, find)
 
 
 def redact(text: str | None, spans: list[Span]) -> str | None:

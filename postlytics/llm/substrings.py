@@ -252,7 +252,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = [_cut(t, s) for t, s in zip(batch["text"], batch["spans"], strict=True)]
             found = pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
-            yield found.assign(doc_id=batch["doc_id"], kept=found["kept"].str.decode("utf-8"))
+            yield found.assign(doc=batch["doc"], kept=found["kept"].str.decode("utf-8"))
 
-    joined = keyed.join(spans, ["doc", "digest"], "left").select(F.nullif("doc", F.lit(_FIRST)).alias("doc_id"), "text", "spans")
-    return joined.mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept string")
+    joined = keyed.join(spans, ["doc", "digest"], "left").select("doc", "text", "spans")
+    kept = joined.mapInPandas(cut, "doc long, n_words long, n_removed long, kept string")
+    return kept.select(F.nullif("doc", F.lit(_FIRST)).alias("doc_id"), "n_words", "n_removed", "kept")
