@@ -57,10 +57,11 @@ def banded_distance(item: bytes, text: bytes, budget: int) -> tuple[int, int]:
         same = (padded[i : i + width] == pattern[i]) & inside[i : i + width]
         cross = row + ~same
         cross[~inside[i : i + width]] = over
-        down = np.append(row[1:], over) + 1
-        row = np.minimum(cross, down)
-        row = np.minimum.accumulate(row - steps) + steps
-        row = np.minimum(row, over)
+        cross[:-1] = np.minimum(cross[:-1], row[1:] + 1)
+        row = cross
+        row = np.minimum(np.minimum.accumulate(row - steps) + steps, over)
+        if row.min() == over:
+            return over, 0
     # Ends beyond the text are none.
     ends = len(pattern) + steps - budget
     row = np.where((ends >= 0) & (ends <= len(body)), row, over)
@@ -127,7 +128,16 @@ class ItemIndex:
         half = self.budget[owner] + 1
         band = (spot - place + self.longest) // half
         key = np.concatenate((owner, owner)) * np.int64(1 << 40) + np.concatenate((band, band - 1))
-        key, shared = np.unique(key, return_counts=True)
+        key, at, hits = np.unique(key, return_inverse=True, return_counts=True)
+        enough = hits >= self.least[key >> 40]
+        if not enough.any():
+            return
+        # An item's q-gram counts once in a band, however often the text has it there.
+        at, place = at[enough[at]], np.concatenate((place, place))[enough[at]]
+        order = np.lexsort((place, at))
+        at, place = at[order], place[order]
+        new = np.concatenate(([True], (at[1:] != at[:-1]) | (place[1:] != place[:-1])))
+        shared = np.bincount(at[new], minlength=len(key))
         owner, band = key >> 40, key & ((1 << 40) - 1)
         enough = shared >= self.least[owner]
         for i, j in zip(owner[enough].tolist(), band[enough].tolist(), strict=True):
