@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlytics.llm.words import ODD
@@ -204,11 +205,13 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDIT
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """``docs`` without the rows whose text holds an item; all columns as they are."""
     for block in item_blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, edits))
+        docs = docs.filter(_holds_none(docs.sparkSession.sparkContext.broadcast(ItemIndex(block, edits)))("text"))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, index=index) -> pd.Series:
-            return texts.map(lambda t: not index.value.matches(t)).astype(bool)
 
-        docs = docs.filter(clean("text"))
-    return docs
+def _holds_none(index: Broadcast) -> Callable[..., Column]:
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: not index.value.matches(t)).astype(bool)
+
+    return clean

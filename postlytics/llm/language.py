@@ -25,6 +25,8 @@ SLOTS = 1 << 19
 HASHES = 2
 #: One filter word holds so many languages.
 LANGUAGES = 63
+#: A text is in no learnt language if it shares less than this with each.
+LEAST_KNOWN = 0.1
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _PIECE = 1 << 20
 
@@ -54,6 +56,11 @@ def slots_of(h: np.ndarray) -> list[np.ndarray]:
     return [(h >> np.uint64(20 * k)) & np.uint64(SLOTS - 1) for k in range(HASHES)]
 
 
+def held_out(doc_id: str = "doc_id") -> F.Column:
+    """Documents that models may not learn from; none without an id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
+
+
 @dataclass
 class LanguageFilters:
     """``table`` has one bit per language in each slot; ``rate`` is each language's chance to answer a foreign n-gram."""
@@ -138,3 +145,19 @@ def predict_languages(docs: DataFrame, model: LanguageFilters) -> DataFrame:
 
     columns = {"lang_pred": pa.string(), "score": pa.float64(), "known": pa.float64()}
     return per_text(docs, columns, lambda text: shared.value.predict(text))
+
+
+def keep_identified(docs: DataFrame, model: LanguageFilters, least_known: float = LEAST_KNOWN) -> DataFrame:
+    """``docs`` whose text is in a learnt language; columns stay as they are.
+
+    What goes are texts without a letter and texts of whose n-grams the nearest
+    language contains less than ``least_known``; texts in several languages stay.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def identified(texts: pd.Series) -> pd.Series:
+        found = [shared.value.predict(t) for t in texts]
+        return pd.Series([lang != UNDETERMINED and known >= least_known for lang, _, known in found], dtype=bool)
+
+    return docs.filter(identified("text"))

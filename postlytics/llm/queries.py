@@ -32,16 +32,11 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.link_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-def held_out(doc_id: str = "doc_id") -> F.Column:
-    """Documents that language models may not learn from."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
-
-
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = language.fit_languages(docs.filter(~held_out()))
+    model = language.fit_languages(docs.filter(~language.held_out()))
     found = language.predict_languages(docs, model)
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "known")
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "known")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

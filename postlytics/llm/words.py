@@ -65,10 +65,15 @@ def numbered(df: DataFrame, order: list, label: str, at: str = "at") -> DataFram
     return staged.join(F.broadcast(before), "_part").withColumn(at, F.col("_before") + place).drop("_part", "_mid", "_before")
 
 
-def per_text(docs: DataFrame, columns: dict[str, pa.DataType], function: Callable[[str | None], tuple]) -> DataFrame:
-    """``doc_id`` of each row of ``docs`` with what ``function`` makes of its ``text``, under the names of ``columns``.
-
-    Ids cross as Arrow columns, so that large ones beside NULLs stay exact.
+def per_text(
+    docs: DataFrame,
+    columns: dict[str, pa.DataType],
+    function: Callable[[str | None], tuple],
+    keys: tuple[str, ...] = ("doc_id",),
+) -> DataFrame:
+    """The ``keys`` of each row of ``docs``, 64-bit numbers, with what ``function`` makes of its ``text`` in ``columns``.
+
+    Keys cross as Arrow columns, so that large ones beside NULLs stay exact.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +81,8 @@ def per_text(docs: DataFrame, columns: dict[str, pa.DataType], function: Callabl
             found = [function(x.as_py()) for x in batch.column("text")]
             made = zip(*found, strict=True) if found else ((),) * len(columns)
             arrays = [pa.array(list(x), t) for x, t in zip(made, columns.values(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *columns])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *arrays], [*keys, *columns])
 
     names = {pa.int64(): "long", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean"}
-    schema = ", ".join(["doc_id long", *(f"{c} {names[t]}" for c, t in columns.items())])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    schema = ", ".join([*(f"{k} long" for k in keys), *(f"{c} {names[t]}" for c, t in columns.items())])
+    return docs.select(*(F.col(k).cast("long").alias(k) for k in keys), "text").mapInArrow(run, schema)
