@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm import decontaminate, embeddings, html, language, mixing, pii, secrets, simhash, substrings
+from postlytics.llm import decontaminate, embeddings, html, language, licenses, mixing, pii, secrets, simhash, substrings
 from postlytics.llm.words import count_words
 
 
@@ -23,6 +23,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.find_licences(docs, licenses.fit_licences(docs))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -64,6 +69,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_simhash": op2_simhash,
+    "op3_licenses": op3_licenses,
     "op4_substrings": op4_substrings,
     "op5_embeddings": op5_embeddings,
     "op6_language": op6_language,
