@@ -71,7 +71,7 @@ class LanguageFilters:
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, its share of all languages' answers, and the share of n-grams that it contains."""
-        if text is None or not any(c.isalpha() for c in text):
+        if text is None or not self.languages or not any(c.isalpha() for c in text):
             return UNDETERMINED, 0.0, 0.0
         hits, n = np.zeros(len(self.languages), dtype=np.int64), 0
         for at in range(0, len(text), _PIECE):
@@ -80,8 +80,6 @@ class LanguageFilters:
             n += len(h)
             found = np.bitwise_and.reduce([self.table[s] for s in slots_of(h)])
             hits += [np.count_nonzero(found & np.int64(1 << b)) for b in range(len(self.languages))]
-        if not len(hits):
-            return UNDETERMINED, 0.0, 0.0
         true = np.maximum((hits - n * self.rate) / np.maximum(1 - self.rate, 1e-9), 0)
         best = int(true.argmax())  # of equals, the first by code point
         total = true.sum()

@@ -1,0 +1,58 @@
+import random
+import re
+
+import pytest
+
+from postlytics.llm import secrets
+
+NAMES = "password passwd secret token api_key apikey".split()
+ASSIGN = "(" + "|".join("".join(f"[{c}{c.upper()}]" for c in n) for n in NAMES) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def slow_spans(text):
+    found = [("assign", *m.span()) for m in re.finditer(ASSIGN, text) if len(m[2]) >= 6]
+    found += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join("%s:%d:%d" % s for s in sorted(found, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0]))))
+
+
+def test_base_patterns_are_the_plain_ones():
+    rng = random.Random(2)
+    parts = ["password", "PassWd", "secret", "ſecret", "toKen", "toKen", "api_key", "apiKEY", "=", ":", " ", "'", '"', "abc123", "AKIA", "ABCD12345678", "0123456789abcdef", "é"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert secrets.joined(secrets.base_spans(text), secrets.KINDS) == slow_spans(text), text
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    rows = [("the river and the dragon monkey password sunshine letter " * 5,)]
+    return secrets.fit_guess_cost(spark.createDataFrame(rows, "text string"))
+
+
+def test_guess_costs(model):
+    easy = ["password", "Dragon2024", "qwertyuiop", "aaaaaaaaaaaa", "abcdefghij", "20240131", "abcabcabcabc", "m0nkey", "sunshine1"]
+    assert max(map(model.cost, easy)) < secrets.LEAST_COST
+    hard = ["zX9$kf!22q", "d7a249b380ac9149ec", "eyJhbGciOiJIUzI1NiJ9"]
+    assert min(map(model.cost, hard)) >= secrets.LEAST_COST
+    assert model.cost("") == 0 and model.cost("dragonmonkey") < model.cost("dragonmonkez")
+
+
+def test_values_where_credentials_stand(model):
+    text = "pwd: zX9$kf!22q. Authorization: Bearer eyJhbGciOi.J9x, login: sunshine1 and the token of the riverbeds, password=d7a249b380ac9149ec"
+    base, added = model.spans(text)
+    assert [text[s.start : s.end] for s in base] == ["password=d7a249b380ac9149ec"]
+    assert [text[s.start : s.end] for s in added] == ["zX9$kf!22q", "eyJhbGciOi.J9x", "d7a249b380ac9149ec"]
+
+
+def test_odd_documents(documents, nothing, model):
+    found = secrets.find_secrets(documents, model).collect()
+    assert sorted(str(r.doc_id) for r in found) == sorted(str(r.doc_id) for r in documents.collect())
+    assert all(r.base == r.spans == "" for r in found)
+    assert secrets.find_secrets(nothing, model).count() == 0
+    assert secrets.fit_guess_cost(nothing).cost("ab") > 2
+
+
+def test_linear_on_very_long_tokens(model):
+    for text in ("a" * 2_000_000, "token" + " " * 1_000_000, "secret=" * 200_000):
+        secrets.base_spans(text)
