@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 from postlytics.operators import profiles
 from postlytics.plans import jobs
-from postlytics.sources.centers import read_centers, write_centers
+from postlytics.sources.centers import read_centers, read_vocabulary, write_centers, write_vocabulary
 from postlytics.sources.posts import numbered_paths
 from postlytics.sources.reports import write_report
 
@@ -42,6 +42,9 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--k", type=int, default=30)
     parser.add_argument("--tol", type=float, default=0.1)
     parser.add_argument("--max-iter", type=int, default=10)
+    parser.add_argument("--limit", type=int, help="rows of word-histogram; all if not given")
+    parser.add_argument("--descending", action="store_true", help="word-histogram from the most occurrences down")
+    parser.add_argument("--pair-count-above", type=int, help="informative-words: pairs counted more often than that")
     parser.add_argument("--min-posts", type=int, default=profiles.MIN_POSTS)
     parser.add_argument("--min-occurs", type=int, default=profiles.MIN_OCCURS)
     return parser.parse_intermixed_args(argv)
@@ -56,13 +59,21 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"postlytics-{args.job}").getOrCreate()
     limits = {"min_posts": args.min_posts, "min_occurs": args.min_occurs}
 
-    if args.job in COUNTS:
+    if args.job == "word-histogram":
+        found = jobs.word_frequency_histogram(spark, paths, not args.descending, args.limit)
+        write_report(found, args.output)
+        print(f"{spark.read.text(args.output).count()} rows")
+    elif args.job == "informative-words":
+        write_report(jobs.informative_words(spark, paths, args.pair_count_above), args.output)
+    elif args.job in COUNTS:
         write_report(COUNTS[args.job](spark, paths), args.output)
     elif args.job == "cluster-users":
         fitted = jobs.cluster_users(spark, paths, args.k, args.tol, args.max_iter, **limits)
         write_centers(fitted.centers, args.output, args.form)
+        write_vocabulary(fitted.vocabulary, args.output)
     else:
         centers = read_centers(spark, args.centers, args.form)
+        limits["vocabulary"] = read_vocabulary(spark, args.centers)
         if args.job == "predict-users":
             members = jobs.predict_users(spark, paths, centers, **limits)
             write_report(members.orderBy("cid", "user_id"), args.output)

@@ -1,8 +1,8 @@
 """Lloyd k-means over sparse author vectors.
 
 Vectors are ``(user_id, n_posts, indices, values)`` and centres ``(cid, indices,
-values)``, one row each.  Assigning a vector is narrow: small centres travel to
-the tasks as one matrix.  Only sums per centre and word are shuffled, after they
+values)``, one row each.  Assigning a vector is narrow: centres travel to the
+tasks as matrices of bounded size.  Only sums per centre and word are shuffled, after they
 were combined in each task.
 """
 
@@ -11,27 +11,27 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlytics.functions.nearest import DISTANCE_DIGITS, nearest_center
+from postlytics.functions.nearest import nearest_center
 from postlytics.functions.text import each
-from postlytics.sources.staging import cut_lineage
+from postlytics.sources.staging import cut_lineage, free
 
-# Largest centre matrix sent to the tasks, in coordinates of 8 bytes: 128 MB.
+# Coordinates of 8 bytes in one block of centres that is sent to the tasks: 128 MB.
 BROADCAST_COORDINATES = 16_000_000
-# Index of the constant entry that carries a count or norm through a sum.
+# Index of the constant entry that carries a count through a sum.
 _UNIT = -1
-# Indices over which constant entries are spread where vectors are joined by index.
-UNIT_PARTS = 256
 
 
 class KMeansFit(NamedTuple):
-    """centers (cid, size, indices, values); number of rounds; last total move."""
+    """centers (cid, size, indices, values); number of rounds; last total move; the words that indices mean, if known."""
 
     centers: DataFrame
     iterations: int
     delta: float
+    vocabulary: DataFrame | None = None
 
 
 def sample_centers(vectors: DataFrame, k: int, seed: str = "") -> DataFrame:
@@ -61,9 +61,10 @@ def center_entries(centers: DataFrame) -> DataFrame:
 
 
 class _Shape(NamedTuple):
-    """Number of centres, coordinates they span, and their summed move if they moved."""
+    """Number of centres, their largest id, coordinates they span, and their summed move if they moved."""
 
     k: int
+    last: int
     width: int
     moved: float
 
@@ -71,7 +72,7 @@ class _Shape(NamedTuple):
 def _shape(centers: DataFrame) -> _Shape:
     moved = F.sum("moved") if "moved" in centers.columns else F.lit(0.0)
     width = F.coalesce(F.max(F.array_max("indices")) + 1, F.lit(0))
-    return _Shape(*centers.agg(F.count("*"), width, F.coalesce(moved, F.lit(0.0))).first())
+    return _Shape(*centers.agg(F.count("*"), F.coalesce(F.max("cid"), F.lit(0)), width, F.coalesce(moved, F.lit(0.0))).first())
 
 
 def _center_matrix(centers: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,46 +86,28 @@ def _center_matrix(centers: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
 
 
 def assign(vectors: DataFrame, centers: DataFrame) -> DataFrame:
-    """Vectors with ``cid`` and ``distance2`` of their nearest centre, ties to the lowest id."""
-    return _assign(vectors, centers, _shape(centers))
+    """Vectors with ``cid`` and ``distance2`` of their nearest centre, ties to the lowest id.
 
-
-def _assign(vectors: DataFrame, centers: DataFrame, shape: _Shape) -> DataFrame:
-    if shape.k * shape.width > BROADCAST_COORDINATES:
-        return assign_by_join(vectors, centers)
-    sent = vectors.sparkSession.sparkContext.broadcast(_center_matrix(centers, shape.width))
-    found = vectors.withColumn("nearest", nearest_center(sent)("indices", "values"))
-    return found.select(*vectors.columns, "nearest.cid", "nearest.distance2")
-
-
-def assign_by_join(vectors: DataFrame, centers: DataFrame) -> DataFrame:
-    """``assign`` for centres too large to send: vector entries meet centre entries by index.
-
-    With x the vector and c the centre, |x - c|^2 = |x|^2 - 2 (x.c - |c|^2 / 2).
-    A constant entry of 1 in each vector and of -|c|^2 / 2 in each centre puts
-    the whole bracket into one sum of products, and lets every vector meet every
-    centre even where they share no word.  That entry's index differs by author,
-    so it is no hot key; the adaptive planner splits those of frequent words.
+    Narrow whatever the centres' size: they are sent as blocks of bounded size, and
+    one rule compares them all.
     """
-    norm = F.expr("aggregate(values, 0D, (total, v) -> total + v * v)")
-    unit = _UNIT - F.pmod(F.xxhash64("user_id"), F.lit(UNIT_PARTS)).cast("int")
-    units = F.sequence(F.lit(_UNIT), F.lit(_UNIT - UNIT_PARTS + 1))
-    points = vectors.select(*_entries("user_id", F.array(unit), F.array(F.lit(1.0))))
-    targets = centers.select(*_entries("cid", units, F.array_repeat(norm / -2, UNIT_PARTS)))
-    targets = targets.withColumnRenamed("value", "coordinate")
-    products = (
-        points.join(targets, "idx")
-        .groupBy("user_id", "cid")
-        .agg(F.sum(F.col("value") * F.col("coordinate")).alias("product"))
-    )
-    norms = vectors.select("user_id", norm.alias("norm"))
-    distance2 = F.greatest(F.round(F.col("norm") - 2 * F.col("product"), DISTANCE_DIGITS), F.lit(0.0))
-    nearest = (
-        products.join(norms, "user_id")
-        .groupBy("user_id")
-        .agg(F.min(F.struct(distance2.alias("distance2"), F.col("cid"))).alias("nearest"))
-    )
-    return vectors.join(nearest, "user_id").select(*vectors.columns, "nearest.cid", "nearest.distance2")
+    return _assign(vectors, centers, _shape(centers), [])
+
+
+def _assign(vectors: DataFrame, centers: DataFrame, shape: _Shape, sent: list[Broadcast]) -> DataFrame:
+    """``sent`` gets what was broadcast, for whoever knows when it is done with."""
+    if not shape.k:
+        raise ValueError("there are no centres")
+    context = vectors.sparkSession.sparkContext
+    step = max(1, BROADCAST_COORDINATES // max(1, shape.width))
+    blocks, largest = [], 0.0
+    for first in range(0, shape.last + 1, step):
+        ids, matrix = _center_matrix(centers.filter(F.col("cid").between(first, first + step - 1)), shape.width)
+        largest = max(largest, float(np.einsum("ij,ij->i", matrix, matrix).max(initial=0.0)))
+        blocks.append(context.broadcast((ids, matrix)))
+    sent += blocks
+    found = vectors.withColumn("nearest", nearest_center(blocks, largest)("indices", "values"))
+    return found.select(*vectors.columns, "nearest.cid", "nearest.distance2")
 
 
 def lloyd_step(vectors: DataFrame, centers: DataFrame) -> DataFrame:
@@ -134,11 +117,11 @@ def lloyd_step(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     vectors stays.  ``moved`` is the squared distance to the old centre.  Each
     vector adds a constant entry, whose sum is the size of its centre.
     """
-    return _step(vectors, centers, _shape(centers))
+    return _step(vectors, centers, _shape(centers), [])
 
 
-def _step(vectors: DataFrame, centers: DataFrame, shape: _Shape) -> DataFrame:
-    points = _assign(vectors, centers, shape).select(*_entries("cid", F.array(F.lit(_UNIT)), F.array(F.lit(1.0))))
+def _step(vectors: DataFrame, centers: DataFrame, shape: _Shape, sent: list[Broadcast]) -> DataFrame:
+    points = _assign(vectors, centers, shape, sent).select(*_entries("cid", F.array(F.lit(_UNIT)), F.array(F.lit(1.0))))
     sums = points.select("cid", "idx", F.col("value").alias("sum"), F.lit(0.0).alias("old"))
     olds = centers.select(*_entries("cid", F.array(F.lit(_UNIT)), F.array(F.lit(0.0))))
     olds = olds.select("cid", "idx", F.lit(0.0).alias("sum"), F.col("value").alias("old"))
@@ -182,9 +165,15 @@ def fit(
     start = sample_centers(vectors, k, seed) if centers is None else centers
     current = cut_lineage(start.select("cid", "indices", "values"), "centers")
     shape, iterations, delta = _shape(current), 0, 1.0
-    while delta > tol and iterations < max_iter:
-        current = cut_lineage(_step(vectors, current, shape), "centers")
+    while shape.k and delta > tol and iterations < max_iter:
+        sent: list[Broadcast] = []
+        before, current = current, cut_lineage(_step(vectors, current, shape, sent), "centers")
+        # The round is written; what it was made from is not read again.
+        free(before)
+        for block in sent:
+            block.destroy()
         shape = _shape(current)
         iterations, delta = iterations + 1, shape.moved
+    free(vectors)
     columns = [c for c in ("cid", "size", "indices", "values") if c in current.columns]
     return KMeansFit(current.select(*columns), iterations, delta)

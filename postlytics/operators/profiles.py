@@ -19,8 +19,7 @@ class Profiles(NamedTuple):
     """Active authors with the counts of all their words, and the vocabulary.
 
     users       (user_id, n_posts)
-    terms       (user_id, token, occurs, n_posts); one row per author with a NULL
-                token stands for the author, so one without words is not lost
+    terms       (user_id, n_posts, token, occurs)
     vocabulary  (token, occurs, idx), idx dense from 0 in the order of the tokens
     size        number of words in the vocabulary
     """
@@ -31,17 +30,12 @@ class Profiles(NamedTuple):
     size: int
 
 
-def user_token_counts(posts: DataFrame) -> DataFrame:
-    """``(user_id, token, occurs)``; the row with a NULL token counts the posts.
-
-    Each post adds one NULL to its tokens, so authors' posts and words are
-    counted in one aggregation over one scan.
-    """
-    marked = F.concat("tokens", F.array(F.lit(None).cast("string")))
+def user_token_counts(posts: DataFrame, users: DataFrame) -> DataFrame:
+    """``(user_id, n_posts, token, occurs)`` of the authors in ``users``; other authors' words are never spread out."""
     return (
-        posts.filter(F.col("user_id").isNotNull())
-        .select("user_id", F.explode(marked).alias("token"))
-        .groupBy("user_id", "token")
+        posts.join(users, "user_id")
+        .select("user_id", "n_posts", F.explode("tokens").alias("token"))
+        .groupBy("user_id", "n_posts", "token")
         .agg(F.count("*").alias("occurs"))
     )
 
@@ -68,35 +62,29 @@ def dense_index(words: DataFrame) -> DataFrame:
     return indexed.drop("part", "offset")
 
 
-def build_profiles(posts: DataFrame, min_posts: int = MIN_POSTS, min_occurs: int = MIN_OCCURS) -> Profiles:
+def build_profiles(
+    posts: DataFrame,
+    min_posts: int = MIN_POSTS,
+    min_occurs: int = MIN_OCCURS,
+    vocabulary: DataFrame | None = None,
+) -> Profiles:
     """Profiles of the authors with ``min_posts`` posts, over the words that occur
-    ``min_occurs`` times in their posts together."""
-    counts = cut_lineage(user_token_counts(posts), "user-tokens")
-    users = counts.filter(F.col("token").isNull() & (F.col("occurs") >= min_posts)).select(
-        "user_id", F.col("occurs").alias("n_posts")
-    )
-    terms = counts.join(users, "user_id")
-    frequent = (
-        terms.filter(F.col("token").isNotNull())
-        .groupBy("token")
-        .agg(F.sum("occurs").alias("occurs"))
-        .filter(F.col("occurs") >= min_occurs)
-    )
-    vocabulary = cut_lineage(dense_index(frequent), "vocabulary")
+    ``min_occurs`` times in their posts together, or over a ``vocabulary`` (token, idx) made before."""
+    users = cut_lineage(active_users(posts, min_posts), "users")
+    terms = cut_lineage(user_token_counts(posts, users), "terms")
+    if vocabulary is None:
+        frequent = terms.groupBy("token").agg(F.sum("occurs").alias("occurs")).filter(F.col("occurs") >= min_occurs)
+        vocabulary = cut_lineage(dense_index(frequent), "vocabulary")
     return Profiles(users, terms, vocabulary, vocabulary.count())
 
 
-def _coded_terms(profiles: Profiles, how: str) -> DataFrame:
+def user_term_weights(profiles: Profiles) -> DataFrame:
+    """``(user_id, idx, weight)``: occurrences of a vocabulary word per post of the author."""
     lookup = profiles.vocabulary.select("token", "idx")
     if profiles.size <= BROADCAST_TERMS:
         lookup = F.broadcast(lookup)
     weight = F.col("occurs") / F.col("n_posts")
-    return profiles.terms.join(lookup, "token", how).withColumn("weight", weight)
-
-
-def user_term_weights(profiles: Profiles) -> DataFrame:
-    """``(user_id, idx, weight)``: occurrences of a vocabulary word per post of the author."""
-    return _coded_terms(profiles, "inner").select("user_id", "idx", "weight")
+    return profiles.terms.join(lookup, "token").select("user_id", "idx", weight.alias("weight"))
 
 
 def user_vectors(profiles: Profiles) -> DataFrame:
@@ -105,11 +93,10 @@ def user_vectors(profiles: Profiles) -> DataFrame:
     An author without a vocabulary word has the zero vector.  A vector holds at
     most one entry per word of the vocabulary.
     """
-    coded = _coded_terms(profiles, "left")
-    kept = coded.filter(F.col("idx").isNotNull() | F.col("token").isNull())
-    entry = F.when(F.col("idx").isNotNull(), F.struct("idx", "weight"))
-    vectors = kept.groupBy("user_id").agg(
-        F.max("n_posts").alias("n_posts"), F.sort_array(F.collect_list(entry)).alias("entries")
+    weights = user_term_weights(profiles).select("user_id", F.struct("idx", "weight").alias("entry"), F.lit(None).cast("bigint").alias("n_posts"))
+    every = profiles.users.select("user_id", F.lit(None).cast("struct<idx: int, weight: double>").alias("entry"), "n_posts")
+    vectors = weights.unionByName(every).groupBy("user_id").agg(
+        F.max("n_posts").alias("n_posts"), F.sort_array(F.collect_list("entry")).alias("entries")
     )
     return vectors.select(
         "user_id",

@@ -40,9 +40,9 @@ def count_unique_words(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
 
 
 def word_frequency_histogram(
-    spark: SparkSession, paths: Iterable[str], ascending: bool = True, limit: int | None = 1000
+    spark: SparkSession, paths: Iterable[str], ascending: bool = True, limit: int | None = None
 ) -> DataFrame:
-    """``(n, keys)``: number of words per number of occurrences."""
+    """``(n, keys)``: number of words per number of occurrences; its rows are all that there are unless ``limit`` is given."""
     return counts.word_frequency_histogram(_raw_words(spark, paths), ascending, limit)
 
 
@@ -66,10 +66,11 @@ def cluster_users(
     min_occurs: int = profiles.MIN_OCCURS,
     seed: str = "",
 ) -> clustering.KMeansFit:
-    """Cluster the active users; write the centres with ``sources.centers.write_centers``."""
+    """Cluster the active users; keep the result with ``write_centers`` and ``write_vocabulary`` of ``sources.centers``."""
     posts = read_tagged_posts(spark, paths, ["user_id"])
     found = profiles.build_profiles(posts, min_posts, min_occurs)
-    return clustering.fit(profiles.user_vectors(found), k, tol, max_iter, seed=seed)
+    fitted = clustering.fit(profiles.user_vectors(found), k, tol, max_iter, seed=seed)
+    return fitted._replace(vocabulary=found.vocabulary)
 
 
 def _predictions(found: profiles.Profiles, centers: DataFrame) -> DataFrame:
@@ -84,10 +85,15 @@ def predict_users(
     centers: DataFrame,
     min_posts: int = profiles.MIN_POSTS,
     min_occurs: int = profiles.MIN_OCCURS,
+    vocabulary: DataFrame | None = None,
 ) -> DataFrame:
-    """``(cid, user_id)``: the members of each saved centre."""
+    """``(cid, user_id)``: the members of each saved centre.
+
+    ``vocabulary`` is the one that the centres were made with. Without it one is built
+    from these paths, which only means the same words if paths and limits are the same.
+    """
     posts = read_tagged_posts(spark, paths, ["user_id"])
-    found = profiles.build_profiles(posts, min_posts, min_occurs)
+    found = profiles.build_profiles(posts, min_posts, min_occurs, vocabulary)
     return reports.cluster_members(_predictions(found, centers), centers)
 
 
@@ -98,13 +104,14 @@ def analyze_clusters(
     min_posts: int = profiles.MIN_POSTS,
     min_occurs: int = profiles.MIN_OCCURS,
     n: int = 100,
+    vocabulary: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Top tokens and top users of each saved centre.
+    """Top tokens and top users of each saved centre; ``vocabulary`` as in ``predict_users``.
 
     Words and names are needed in two passes, so the parsed posts are staged.
     """
     posts = cut_lineage(read_tagged_posts(spark, paths).drop("tags"), "posts")
-    found = profiles.build_profiles(posts, min_posts, min_occurs)
+    found = profiles.build_profiles(posts, min_posts, min_occurs, vocabulary)
     return (
         reports.cluster_top_tokens(centers, found.vocabulary, n),
         reports.cluster_top_users(_predictions(found, centers), posts, n),

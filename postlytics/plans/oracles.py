@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlytics.plans.queries import K, LONG_TAIL, MIN_OCCURS, MIN_POSTS, ROUNDS, TOP
+from postlytics.plans.queries import FAR, K, LONG_TAIL, MIN_OCCURS, MIN_POSTS, ROUNDS, TOLERANCE, TOP
 from postlytics.plans.tables import TAG_RULE
 
 _DOCUMENT_WORDS = r"""
@@ -34,11 +34,13 @@ df AS MATERIALIZED (
 
 def _pairs(above: int = 0) -> str:
     return f"""{_WORDS},
-coded AS MATERIALIZED (SELECT post, id, content FROM words JOIN df USING (token, tag)),
+coded AS MATERIALIZED (
+  SELECT list(id) AS ids, list(id) FILTER (WHERE content) AS firsts FROM words JOIN df USING (token, tag) GROUP BY post
+),
+anchored AS (SELECT ids, unnest(firsts) AS w1 FROM coded),
+listed AS (SELECT w1, unnest(ids) AS w2 FROM anchored),
 pairs AS MATERIALIZED (
-  SELECT a.id AS w1, b.id AS w2, count(*) AS pc
-  FROM coded a JOIN coded b ON a.post = b.post AND a.id <> b.id
-  WHERE a.content GROUP BY a.id, b.id HAVING count(*) > {above}
+  SELECT w1, w2, count(*) AS pc FROM listed WHERE w1 <> w2 GROUP BY w1, w2 HAVING count(*) > {above}
 )"""
 
 
@@ -96,7 +98,9 @@ def _assigned(at: int) -> str:
     return f"""
 assigned{at} AS MATERIALIZED (
   SELECT user_id, cid, distance2 FROM (
-    SELECT norms.user_id, center_norms.cid, greatest(round(xn - 2 * coalesce(dot, 0) + cn, 12), 0) AS distance2
+    SELECT user_id, cid, round(min(d) OVER (PARTITION BY user_id), 12) AS distance2,
+           d <= min(d) OVER (PARTITION BY user_id) + 1e-12 * (xn + max(cn) OVER ()) AS nearest
+    FROM (SELECT norms.user_id, center_norms.cid, xn, cn, greatest(xn - 2 * coalesce(dot, 0) + cn, 0) AS d
     FROM norms
     CROSS JOIN (
       SELECT ids.cid, coalesce(sum(value * value), 0) AS cn
@@ -104,8 +108,8 @@ assigned{at} AS MATERIALIZED (
     LEFT JOIN (
       SELECT user_id, cid, sum(weight * value) AS dot
       FROM vectors JOIN centers{at} USING (idx) GROUP BY user_id, cid) dots
-    ON dots.user_id = norms.user_id AND dots.cid = center_norms.cid)
-  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY distance2, cid) = 1
+    ON dots.user_id = norms.user_id AND dots.cid = center_norms.cid))
+  WHERE nearest QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY cid) = 1
 )"""
 
 
@@ -129,6 +133,34 @@ def _rounds(n: int) -> str:
     return ",".join(steps)
 
 
+# The sampled authors as centres, and one more that is far from all.
+_FAR = _PROFILES.replace("ids AS (", "chosen AS (").replace(
+    "centers0 AS MATERIALIZED (SELECT cid, idx, weight AS value FROM vectors JOIN ids USING (user_id))",
+    f"centers0 AS MATERIALIZED (SELECT cid, idx, weight AS value FROM vectors JOIN chosen USING (user_id) UNION ALL SELECT {K}, 0, {FAR}::DOUBLE),"
+    f"ids AS (SELECT cid, user_id FROM chosen UNION ALL SELECT {K}, NULL)",
+)
+
+
+def _move(at: int) -> str:
+    """Summed squared move from the centres ``at`` to the next."""
+    return f"""
+move{at} AS (
+  SELECT coalesce(sum(pow(coalesce(a.value, 0) - coalesce(b.value, 0), 2)), 0) AS delta
+  FROM centers{at} a FULL JOIN centers{at + 1} b ON a.cid = b.cid AND a.idx = b.idx
+)"""
+
+
+def _stopped() -> str:
+    """The centres after the first round whose move is small enough, or the last."""
+    moves = ",".join(_move(at) for at in range(ROUNDS))
+    picks = " UNION ALL ".join(
+        f"SELECT {at + 1} AS rounds, cid, idx, value FROM centers{at + 1} WHERE "
+        + " AND ".join([*(f"(SELECT delta FROM move{b}) > {TOLERANCE}" for b in range(at)), *([f"(SELECT delta FROM move{at}) <= {TOLERANCE}"] if at < ROUNDS - 1 else ["true"])])
+        for at in range(ROUNDS)
+    )
+    return f"WITH {_rounds(ROUNDS)},{moves} SELECT rounds::BIGINT AS rounds, cid, idx, round(value, 9) AS value FROM ({picks}) WHERE value <> 0"
+
+
 _ONE_ROUND = _rounds(1)
 _CLUSTERS = ",".join([_ONE_ROUND, _assigned(1)])
 
@@ -148,11 +180,14 @@ SELECT CASE WHEN event_id % 97 <> 0 THEN event_id END AS post_id,
        CASE WHEN event_id % 97 <> 0 THEN event_type END AS text
 FROM events""",
     "tagged_post_scan": f"""WITH {_LINE_POSTS}
-SELECT user_id, n_posts, user_name, coalesce(tokens, 0) AS tokens, coalesce(nouns, 0) AS nouns
-FROM (SELECT user_id, count(*) AS n_posts, min(user_name) AS user_name FROM posts GROUP BY user_id)
-LEFT JOIN (
-  SELECT user_id, count(*) AS tokens, count(*) FILTER (WHERE tag = 'N') AS nouns FROM tokens GROUP BY user_id
-) USING (user_id)""",
+SELECT p.user_id, n_posts, user_name, coalesce(tokens, 0) AS tokens, coalesce(nouns, 0) AS nouns
+FROM (
+  SELECT CASE WHEN user_id % 7 <> 3 THEN user_id END AS user_id, count(*) AS n_posts,
+         min(CASE WHEN user_id % 7 <> 3 THEN user_name END) AS user_name FROM posts GROUP BY 1
+) p LEFT JOIN (
+  SELECT CASE WHEN user_id % 7 <> 3 THEN user_id END AS user_id, count(*) AS tokens,
+         count(*) FILTER (WHERE tag = 'N') AS nouns FROM tokens GROUP BY 1
+) t ON p.user_id IS NOT DISTINCT FROM t.user_id""",
     "posts_per_user": "SELECT user_id, count(*) AS n_posts FROM events GROUP BY user_id",
     "user_post_histogram": """
 SELECT n, count(*) AS keys FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) GROUP BY n""",
@@ -162,8 +197,8 @@ UNION SELECT event_id FROM events WHERE event_type <> 'view'
 UNION SELECT event_id FROM events WHERE event_type = 'view'""",
     "vocabulary_size": f"WITH {_DOCUMENT_WORDS} SELECT count(DISTINCT word) AS vocabulary_size FROM words",
     "word_frequency_histogram": f"WITH {_DOCUMENT_WORDS} SELECT n, keys FROM histogram",
-    "word_frequency_top": f"WITH {_DOCUMENT_WORDS} SELECT n, keys FROM histogram ORDER BY n DESC LIMIT 1000",
-    "word_frequency_bottom": f"WITH {_DOCUMENT_WORDS} SELECT n, keys FROM histogram ORDER BY n LIMIT 1000",
+    "word_frequency_top": f"WITH {_DOCUMENT_WORDS} SELECT n, keys FROM histogram ORDER BY n DESC LIMIT {TOP}",
+    "word_frequency_bottom": f"WITH {_DOCUMENT_WORDS} SELECT n, keys FROM histogram ORDER BY n LIMIT {TOP}",
     "document_frequency": f"WITH {_WORDS} SELECT token, tag, df FROM df",
     "word_pair_counts": f"""
 SELECT token1, tag1, tag2, count(*) AS partners, sum(pair_count) AS pair_sum, max(pair_count) AS top_count,
@@ -182,6 +217,8 @@ FROM (SELECT w1, count(*) AS partners, sum(pc) AS pair_sum FROM pairs GROUP BY w
     "kmeans_assign_by_join": _ASSIGNED,
     "kmeans_step": f"WITH {_ONE_ROUND} {_CENTERS.format(at=1)}",
     "kmeans_fit": f"WITH {_rounds(ROUNDS)} {_CENTERS.format(at=ROUNDS)}",
+    "kmeans_empty_cluster": f"WITH {_FAR},{_assigned(0)},{_moved(0)} {_CENTERS.format(at=1)}",
+    "kmeans_stop": _stopped(),
     "cluster_members": f"""WITH {_CLUSTERS}
 SELECT ids.cid, a.user_id FROM ids LEFT JOIN assigned1 a ON a.cid = ids.cid""",
     "cluster_sizes": f"""WITH {_CLUSTERS}

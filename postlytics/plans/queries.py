@@ -18,6 +18,10 @@ MIN_OCCURS = 100
 K = 10
 ROUNDS = 3
 TOP = 100
+# A coordinate no author is near.
+FAR = 1e4
+# Summed squared move of all centres.
+TOLERANCE = 0.05
 # Pairs counted more often than this pass the long-tail filter.
 LONG_TAIL = 2
 
@@ -36,19 +40,22 @@ def raw_post_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = tables.event_lines(spark, sf_dir)
     paths = [scratch_path(spark, "raw-posts") for _ in range(2)]
     for at, path in enumerate(paths):
-        lines.filter(F.abs(F.hash("value")) % 2 == at).write.text(path)
+        lines.filter(F.pmod(F.hash("value"), F.lit(2)) == at).write.text(path)
     return read_raw_posts(spark, paths)
 
 
 def tagged_post_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tagged lines written as text and read back, as words and tags per author."""
     user = F.struct(F.col("user_id").alias("id"), F.col("user_name").alias("name"))
+    junk = F.array(*[F.lit(x) for x in tables.JUNK])
+    at = F.pmod(F.floor(F.col("user_id") / 7), F.lit(len(tables.JUNK))).cast("int")
     line = F.concat_ws(
         "\t",
         F.array_join("tokens", " "),
         F.array_join("tags", " "),
         F.lit("-"),
-        F.to_json(F.struct(user.alias("user"))),
+        # Every seventh author's object has junk behind it.
+        F.concat(F.to_json(F.struct(user.alias("user"))), F.when(F.col("user_id") % 7 == 3, F.get(junk, at)).otherwise("")),
     )
     path = scratch_path(spark, "tagged-posts")
     tables.line_posts(spark, sf_dir).select(line.alias("value")).write.text(path)
@@ -86,11 +93,11 @@ def word_frequency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_frequency_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.word_frequency_histogram(tables.document_posts(spark, sf_dir), ascending=False, limit=1000)
+    return counts.word_frequency_histogram(tables.document_posts(spark, sf_dir), ascending=False, limit=TOP)
 
 
 def word_frequency_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.word_frequency_histogram(tables.document_posts(spark, sf_dir), ascending=True, limit=1000)
+    return counts.word_frequency_histogram(tables.document_posts(spark, sf_dir), ascending=True, limit=TOP)
 
 
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,9 +168,11 @@ def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_assign_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _vectors(_profiles(spark, sf_dir))
-    predictions = clustering.assign_by_join(vectors, clustering.sample_centers(vectors, K))
-    return _rounded(predictions.select("user_id", "cid", "distance2"), "distance2")
+    """The assignment, joined back to the authors it is of."""
+    found = _profiles(spark, sf_dir)
+    vectors = _vectors(found)
+    predictions = clustering.assign(vectors, clustering.sample_centers(vectors, K))
+    return _rounded(found.users.join(predictions, "user_id").select("user_id", "cid", "distance2"), "distance2")
 
 
 def _one_round(vectors: DataFrame) -> DataFrame:
@@ -181,6 +190,22 @@ def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(clustering.center_entries(found.centers), "value")
 
 
+def kmeans_empty_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A round from centres of which one, far off, gets no author and stays."""
+    vectors = _vectors(_profiles(spark, sf_dir))
+    far = spark.createDataFrame([(K, [0], [FAR])], "cid int, indices array<int>, values array<double>")
+    centers = clustering.sample_centers(vectors, K).unionByName(far)
+    return _rounded(clustering.center_entries(clustering.fit(vectors, tol=0.0, max_iter=1, centers=centers).centers), "value")
+
+
+def kmeans_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds until the centres move by less than ``TOLERANCE``, which is before the last."""
+    vectors = profiles.user_vectors(_profiles(spark, sf_dir))
+    found = clustering.fit(vectors, k=K, tol=TOLERANCE, max_iter=ROUNDS)
+    centers = clustering.center_entries(found.centers).withColumn("rounds", F.lit(found.iterations).cast("bigint"))
+    return _rounded(centers, "value")
+
+
 def _clusters(spark: SparkSession, sf_dir: str) -> tuple[profiles.Profiles, DataFrame, DataFrame]:
     found = _profiles(spark, sf_dir)
     vectors = _vectors(found)
@@ -248,6 +273,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         kmeans_assign_by_join,
         kmeans_step,
         kmeans_fit,
+        kmeans_empty_cluster,
+        kmeans_stop,
         cluster_members,
         cluster_sizes,
         cluster_top_tokens,

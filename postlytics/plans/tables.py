@@ -16,6 +16,9 @@ TAG_RULE = """CASE WHEN substr(w,1,1) BETWEEN 'A' AND 'Z' THEN '^'
      WHEN length(w) >= 7 THEN 'N'
      ELSE 'V' END"""
 
+# What stands behind an object and breaks its line.
+JUNK = ("] xyz", "]", "][", " {}", '],[{"id":2}', " }", "] }")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table, spread over the cores where its file gives too few tasks.
@@ -51,7 +54,7 @@ def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as raw JSON lines; every 97th line has lost its last character."""
+    """Events as raw JSON lines; every 97th line is cut short or has ``JUNK`` behind it."""
     events = table(spark, sf_dir, "events")
     line = F.to_json(
         F.struct(
@@ -60,5 +63,6 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("event_type").alias("text"),
         )
     )
-    broken = F.substring(line, F.lit(1), F.length(line) - 1)
+    kinds = [F.substring(line, F.lit(1), F.length(line) - 1), *(F.concat(line, F.lit(junk)) for junk in JUNK)]
+    broken = F.get(F.array(*kinds), F.pmod(F.floor(F.col("event_id") / 97), F.lit(len(kinds))).cast("int"))
     return events.select(F.when(F.col("event_id") % 97 == 0, broken).otherwise(line).alias("value"))

@@ -14,6 +14,8 @@ from postlytics.functions.text import split_words
 # fields a job asks for enter the parser's schema.
 _USER_FIELDS = {"user_id": "id", "user_name": "name", "user_description": "description"}
 _TOP_FIELDS = {"post_id": "id", "text": "text"}
+# Field of the object that marks the end of a line.
+_END = "end of the line"
 
 
 def numbered_paths(folder: str, prefix: str, first: int, last: int) -> list[str]:
@@ -30,27 +32,34 @@ def read_lines(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
 
 
 def union_posts(frames: Iterable[DataFrame]) -> DataFrame:
-    """All rows of several post tables, matched by column name."""
+    """All rows of several post tables, matched by column name; of none, no posts."""
+    frames = list(frames)
+    if not frames:
+        return SparkSession.active().createDataFrame([], "post_id long, user_id long, text string")
     return reduce(DataFrame.unionByName, frames)
 
 
-def _parsed_json(line: Column, fields: Iterable[str]) -> Column:
-    """The line as one JSON object, or NULL where it is anything else.
+def _with_post(lines: DataFrame, line: Column, fields: Iterable[str]) -> DataFrame:
+    """``lines`` with ``post``: the line as one JSON object, or NULL where it is anything else.
 
-    The line is parsed as the only element of an array: junk behind the object
-    breaks the array and a second object makes it longer, so both are told apart
-    from a good line in the same parse.
+    The line is parsed as the first of two elements of an array, the second of
+    which marks the end. Junk behind the object breaks the array, a second object
+    makes it longer, and a line that closes the array itself cuts off the mark.
+    The parsed value is projected first and used by the next projection, so that
+    each line is parsed once.
     """
     top = [f"{_TOP_FIELDS[f]}: string" for f in fields if f in _TOP_FIELDS]
     user = [f"{_USER_FIELDS[f]}: string" for f in fields if f in _USER_FIELDS]
     if user:
         top.append(f"user: struct<{', '.join(user)}>")
+    top.append(f"`{_END}`: string")
     parsed = F.from_json(
-        F.concat(F.lit("["), line, F.lit("]")),
-        f"array<struct<{', '.join(top)}>>",
-        {"allowSingleQuotes": "false"},
+        F.concat(F.lit("["), line, F.lit(f',{{"{_END}":1}}]')), f"array<struct<{', '.join(top)}>>", {"allowSingleQuotes": "false"}
     )
-    return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
+    found = lines.withColumn("parsed", parsed)
+    first, second = F.get("parsed", F.lit(0)), F.get("parsed", F.lit(1))
+    good = (F.size("parsed") == 2) & (second[_END] == "1") & first[_END].isNull()
+    return found.withColumn("post", F.when(good, first)).drop("parsed")
 
 
 def _field(post: Column, name: str) -> Column:
@@ -60,7 +69,7 @@ def _field(post: Column, name: str) -> Column:
 
 def parse_raw_posts(lines: DataFrame, fields=("post_id", "user_id", "text")) -> DataFrame:
     """Posts from JSON lines; a field a line does not give is NULL, never a magic value."""
-    parsed = lines.select(_parsed_json(F.col("value"), fields).alias("post"))
+    parsed = _with_post(lines.select("value"), F.col("value"), fields)
     return parsed.select(*[_field(F.col("post"), f).alias(f) for f in fields])
 
 
@@ -81,7 +90,7 @@ def parse_tagged_posts(lines: DataFrame, fields=("user_id", "user_name", "user_d
     ]
     if not fields:
         return parts.select(*words)
-    parsed = parts.select(*words, _parsed_json(F.get("part", F.lit(3)), fields).alias("post"))
+    parsed = _with_post(parts, F.get("part", F.lit(3)), fields).select(*words, "post")
     return parsed.select("tokens", "tags", *[_field(F.col("post"), f).alias(f) for f in fields])
 
 

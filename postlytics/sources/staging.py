@@ -4,25 +4,49 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
+from functools import cache
+from urllib.parse import urlparse
 from uuid import uuid4
+from weakref import WeakKeyDictionary
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+#: Setting of a cluster whose machines mount the same folder at the same local path.
+MOUNTED = "spark.postlytics.mountedFolder"
+#: Where staged tables lie.
+_staged: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    local = spark.sparkContext.master.startswith("local")
+    scheme = urlparse(folder).scheme or _default_scheme(spark) if folder else ""
+    if scheme == "file" and not local and spark.conf.get(MOUNTED, "false") != "true":
+        raise ValueError(f"spark.checkpoint.dir names {folder}, which each machine may have for itself; set {MOUNTED} to true if all share it")
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="postlytics-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+    if local:
+        return _own_folder()
     raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
+def _default_scheme(spark: SparkSession) -> str:
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    return urlparse(hadoop.get("fs.defaultFS", "file:///")).scheme or "file"
+
+
+@cache
+def _own_folder() -> str:
+    """This program's own folder, for local sessions without a setting; removed at its end."""
+    folder = tempfile.mkdtemp(prefix="postlytics-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, removed when the driver program ends."""
     path = f"{shared_folder(spark)}/{label}-{uuid4().hex}"
@@ -45,4 +69,14 @@ def cut_lineage(df: DataFrame, label: str = "staged") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    _staged[staged] = path
+    return staged
+
+
+def free(staged: DataFrame) -> None:
+    """Remove the table behind what ``cut_lineage`` gave; nothing made from it may be read after that."""
+    path = _staged.pop(staged, None)
+    if path:
+        jvm_path = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        _remove(jvm_path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()), jvm_path)

@@ -67,3 +67,23 @@ def test_zero_entries_are_not_written(spark, tmp_path):
     write_centers(df, str(tmp_path / "c"), "lines")
     found = read_centers(spark, str(tmp_path / "c"), "lines")
     assert [tuple(r) for r in center_entries(found).collect()] == [(0, 2, 1.0)]
+
+
+@pytest.mark.parametrize("form", ["blocks", "lines"])
+def test_several_dumps_are_refused(spark, tmp_path, form):
+    centers = spark.createDataFrame([(0, [0], [1.0]), (1, [1], [2.0])], "cid int, indices array<int>, values array<double>")
+    write_centers(centers, str(tmp_path / "a"), form)
+    folder = tmp_path / "both"
+    folder.mkdir()
+    (part,) = (tmp_path / "a").glob("part-*")
+    for name in ("one", "two"):
+        (folder / name).write_text(part.read_text())
+    with pytest.raises(ValueError, match="2 dumps"):
+        read_centers(spark, str(folder), form)
+
+
+def test_misnumbered_table_is_refused(spark, tmp_path):
+    centers = spark.createDataFrame([(0, [0], [1.0]), (2, [1], [2.0])], "cid int, indices array<int>, values array<double>")
+    write_centers(centers, str(tmp_path / "a"))
+    with pytest.raises(ValueError, match="not numbered"):
+        read_centers(spark, str(tmp_path / "a"))

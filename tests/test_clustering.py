@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from postlytics.operators import clustering
-from postlytics.operators.clustering import assign, assign_by_join, center_entries, fit, lloyd_step, sample_centers
+from postlytics.operators.clustering import assign, center_entries, fit, lloyd_step, sample_centers
+from postlytics.sources import staging
 from postlytics.operators.reports import cluster_members, cluster_sizes, cluster_top_tokens, cluster_top_users
 
 WIDTH = 8
@@ -70,37 +71,53 @@ def same(found, expected):
         assert found[user][0] == cid and abs(found[user][1] - distance) < 1e-9
 
 
-@pytest.mark.parametrize("method", [assign, assign_by_join])
-def test_assign(spark, method):
+@pytest.fixture(params=[1, 16_000_000])
+def blocks(request, monkeypatch):
+    """Centres sent one by one, and all at once."""
+    monkeypatch.setattr(clustering, "BROADCAST_COORDINATES", request.param)
+
+
+def test_assign(spark, blocks):
     points = make_points()
     starts = [points[3], points[7], {}, points[12]]
-    found = method(vectors_of(spark, points), centers_of(spark, starts))
+    found = assign(vectors_of(spark, points), centers_of(spark, starts))
     same(assigned(found), expected_assign(points, [dense(c) for c in starts]))
     assert found.columns == ["user_id", "n_posts", "indices", "values", "cid", "distance2"]
 
 
-@pytest.mark.parametrize("method", [assign, assign_by_join])
-def test_ties_go_to_the_lowest_id(spark, method):
+def test_ties_go_to_the_lowest_id(spark, blocks):
     points = {1: {0: 1.0}, 2: {}, 3: {1: 2.0}}
-    found = method(vectors_of(spark, points), centers_of(spark, [{5: 9.0}, {0: 1.0}, {0: 1.0}, {1: 2.0}]))
+    found = assign(vectors_of(spark, points), centers_of(spark, [{5: 9.0}, {0: 1.0}, {0: 1.0}, {1: 2.0}]))
     assert {u: c for u, (c, _) in assigned(found).items()} == {1: 1, 2: 1, 3: 3}
 
 
-@pytest.mark.parametrize("method", [assign, assign_by_join])
-def test_negative_coordinates_and_unknown_words(spark, method):
+def test_negative_coordinates_and_unknown_words(spark, blocks):
     points = {1: {0: 1.0, 7: 3.0}, 2: {1: 1.0}}
     centers = [{0: -1.0}, {1: -0.5}]
-    found = method(vectors_of(spark, points), centers_of(spark, centers))
+    found = assign(vectors_of(spark, points), centers_of(spark, centers))
     same(assigned(found), expected_assign(points, [dense(c) for c in centers]))
 
 
-def test_large_centers_are_joined(spark, monkeypatch):
-    points = make_points(2)
-    monkeypatch.setattr(clustering, "BROADCAST_COORDINATES", 1)
-    starts = [points[1], points[2]]
-    found = assign(vectors_of(spark, points), centers_of(spark, starts))
-    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
-    same(assigned(found), expected_assign(points, [dense(c) for c in starts]))
+@pytest.mark.parametrize("scale", [0.1, 1.0, 1e2, 1e4])
+def test_equally_far_centers_of_any_size(spark, blocks, scale):
+    """Points of equal coordinates are as far from a centre as from its permutations."""
+    rng = np.random.default_rng(5)
+    points = {u: {i: float(x) for i in range(6)} for u, x in enumerate(rng.uniform(0.5, 1.5, 100) * scale)}
+    center = rng.uniform(0, 1, 6) * scale
+    starts = [dict(enumerate(map(float, rng.permutation(center)))) for _ in range(3)]
+    found = assigned(assign(vectors_of(spark, points), centers_of(spark, starts)))
+    assert {cid for cid, _ in found.values()} == {0}
+
+
+def test_no_centers(spark):
+    with pytest.raises(ValueError, match="no centres"):
+        assign(vectors_of(spark, {1: {0: 1.0}}), centers_of(spark, [{}]).limit(0))
+
+
+def test_fit_leaves_one_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "shared_folder", lambda spark: str(tmp_path))
+    found = fit(vectors_of(spark, make_points(1)), k=3, tol=0.0, max_iter=4)
+    assert len(list(tmp_path.iterdir())) == 1 and found.centers.count() == 3
 
 
 def test_all_centers_zero(spark):

@@ -7,7 +7,7 @@ import pytest
 
 from postlytics.__main__ import main
 from postlytics.plans import jobs
-from postlytics.sources.centers import read_centers, write_centers
+from postlytics.sources.centers import read_centers, read_vocabulary, write_centers, write_vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -78,6 +78,34 @@ def test_cluster_predict_and_report(spark, corpus, tmp_path):
     assert users.count() == 6
 
 
+def test_predict_on_other_posts(spark, corpus, tmp_path):
+    """Saved words make the indices of saved centres mean the same for any posts."""
+    _, paths = corpus
+    fitted = jobs.cluster_users(spark, paths["tagged"], k=2, min_posts=7, min_occurs=10, max_iter=10)
+    path = str(tmp_path / "centers")
+    write_centers(fitted.centers, path)
+    write_vocabulary(fitted.vocabulary, path)
+    words, tags = ["0early"] * 30 + ["b0", "b1"] * 20, "V"
+    body = '{"id":1,"user":{"id":99}}'
+    with open(tmp_path / "other", "w") as out:
+        out.writelines(f"{' '.join(words)}\t{tags}\t0\t{body}\n" for _ in range(8))
+    centers = read_centers(spark, path)
+    found = jobs.predict_users(spark, [str(tmp_path / "other")], centers, 7, 10, read_vocabulary(spark, path))
+    everyone = jobs.predict_users(spark, paths["tagged"], centers, 7, 10, read_vocabulary(spark, path))
+    (cluster,) = {r["cid"] for r in everyone.collect() if r["user_id"] is not None and r["user_id"] % 2}
+    assert [r["cid"] for r in found.collect() if r["user_id"] == 99] == [cluster]
+    assert read_vocabulary(spark, str(tmp_path / "nothing")) is None
+
+
+def test_word_histogram_is_whole(spark, tmp_path):
+    """More than a thousand different counts, all of them reported."""
+    with open(tmp_path / "posts", "w") as out:
+        for n in range(1, 1101):
+            out.write(json.dumps({"id": n, "user": {"id": 1}, "text": f"w{n} " * n}) + "\n")
+    assert jobs.word_frequency_histogram(spark, [str(tmp_path / "posts")]).count() == 1100
+    assert jobs.word_frequency_histogram(spark, [str(tmp_path / "posts")], limit=10).count() == 10
+
+
 def test_no_files(spark):
     assert jobs.count_unique_words(spark, []).first()[0] == 0
     assert jobs.informative_words(spark, []).count() == 0

@@ -44,10 +44,24 @@ def test_pairs_stay_in_the_engine_and_aggregate_once(spark):
 
 
 @needs_tables
-def test_profiles_scan_posts_once(spark):
+def test_profiles_shuffle_terms_once(spark):
     posts = tables.line_posts(spark, FOLDER)
-    text = plan(profiles.user_token_counts(posts))
-    assert text.count("FileScan") == 1 and text.count("partial_count(1)") == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    before, profiles.BROADCAST_TERMS = profiles.BROADCAST_TERMS, 0
+    try:
+        found = profiles.build_profiles(posts, 2, 5)
+        text = plan(profiles.user_vectors(found))
+    finally:
+        profiles.BROADCAST_TERMS = before
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftOuter" not in text and "SortMergeJoin" in text and "isnotnull(token" in text
+    assert text.count("hashpartitioning(user_id") == 1
+
+
+def test_json_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a").write_text('{"id":1,"user":{"id":2}}\n')
+    text = plan(read_raw_posts(spark, [str(tmp_path / "a")]))
+    assert text.count("from_json(") == 1
 
 
 def test_assignment_is_narrow(spark):
@@ -86,3 +100,8 @@ def test_staging_needs_a_shared_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session)
+    Conf.get = staticmethod(lambda key, default: "file:/tmp/x" if key == "spark.checkpoint.dir" else default)
+    with pytest.raises(ValueError, match="file:/tmp/x"):
+        shared_folder(Session)
+    Conf.get = staticmethod(lambda key, default: "hdfs://a/x/" if key == "spark.checkpoint.dir" else default)
+    assert shared_folder(Session) == "hdfs://a/x"
