@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postlytics.plans.queries import FAR, K, LONG_TAIL, MIN_OCCURS, MIN_POSTS, ROUNDS, TOLERANCE, TOP
+from postlytics.plans.queries import FAR, K, LONG_TAIL, MIN_OCCURS, MIN_POSTS, MOST_ROUNDS, ROUNDS, TOLERANCE, TOP
 from postlytics.plans.tables import TAG_RULE
 
 _DOCUMENT_WORDS = r"""
@@ -152,13 +152,13 @@ move{at} AS (
 
 def _stopped() -> str:
     """The centres after the first round whose move is small enough, or the last."""
-    moves = ",".join(_move(at) for at in range(ROUNDS))
+    moves = ",".join(_move(at) for at in range(MOST_ROUNDS))
     picks = " UNION ALL ".join(
         f"SELECT {at + 1} AS rounds, cid, idx, value FROM centers{at + 1} WHERE "
-        + " AND ".join([*(f"(SELECT delta FROM move{b}) > {TOLERANCE}" for b in range(at)), *([f"(SELECT delta FROM move{at}) <= {TOLERANCE}"] if at < ROUNDS - 1 else ["true"])])
-        for at in range(ROUNDS)
+        + " AND ".join([*(f"(SELECT delta FROM move{b}) > {TOLERANCE}" for b in range(at)), *([f"(SELECT delta FROM move{at}) <= {TOLERANCE}"] if at < MOST_ROUNDS - 1 else ["true"])])
+        for at in range(MOST_ROUNDS)
     )
-    return f"WITH {_rounds(ROUNDS)},{moves} SELECT rounds::BIGINT AS rounds, cid, idx, round(value, 9) AS value FROM ({picks}) WHERE value <> 0"
+    return f"WITH {_rounds(MOST_ROUNDS)},{moves} SELECT rounds::BIGINT AS rounds, cid, idx, round(value, 9) AS value FROM ({picks}) WHERE value <> 0"
 
 
 _ONE_ROUND = _rounds(1)

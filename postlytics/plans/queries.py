@@ -21,7 +21,8 @@ TOP = 100
 # A coordinate no author is near.
 FAR = 1e4
 # Summed squared move of all centres.
-TOLERANCE = 0.05
+TOLERANCE = 0.75
+MOST_ROUNDS = 7
 # Pairs counted more often than this pass the long-tail filter.
 LONG_TAIL = 2
 
@@ -199,9 +200,9 @@ def kmeans_empty_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rounds until the centres move by less than ``TOLERANCE``, which is before the last."""
+    """Rounds until the centres move by no more than ``TOLERANCE``; on the usual tables that is before the last."""
     vectors = profiles.user_vectors(_profiles(spark, sf_dir))
-    found = clustering.fit(vectors, k=K, tol=TOLERANCE, max_iter=ROUNDS)
+    found = clustering.fit(vectors, k=K, tol=TOLERANCE, max_iter=MOST_ROUNDS)
     centers = clustering.center_entries(found.centers).withColumn("rounds", F.lit(found.iterations).cast("bigint"))
     return _rounded(centers, "value")
 
