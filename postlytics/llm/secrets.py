@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from postlytics.llm.spans import Span, joined
 from postlytics.llm.words import per_text
+from postlytics.sources.staging import cut_lineage
 
 KINDS = ["assign", "access", "hex", "guess"]
 #: Words that guessing knows: the most frequent of the whole corpus.
 DICTIONARY = 20_000
+#: Classes of word frequencies between a number and its double.
+CLASSES_PER_OCTAVE = 16
 #: A value is a secret from so many guesses on, as a power of ten.
 LEAST_COST = 8.0
 LONGEST_WORD = 24
@@ -172,10 +175,24 @@ def base_spans(text: str | None) -> list[Span]:
 
 
 def fit_guess_cost(docs: DataFrame, dictionary: int = DICTIONARY) -> GuessCost:
-    """Rank the most frequent words of all ``docs`` (text); the driver gets ``dictionary`` of them."""
+    """Rank the most frequent words of all ``docs`` (text), ``dictionary`` of them at most.
+
+    Words are counted in classes of about equal frequency, a number fixed by the
+    class width, and whole classes are taken from the top as long as they fit. So the
+    driver gets no more than that, however many words and tasks there are.
+    """
     words = docs.select(F.explode(F.split(F.lower("text"), r"[\s\d\p{Punct}]+")).alias("word")).filter(F.length("word").between(2, LONGEST_WORD))
-    ranked = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(dictionary)
-    return GuessCost({row["word"]: at + 1 for at, row in enumerate(ranked.collect())})
+    counted = words.groupBy("word").agg(F.count("*").alias("times"))
+    counted = cut_lineage(counted.withColumn("class", F.floor(F.log2("times") * CLASSES_PER_OCTAVE).cast("int")), "words")
+    total, least = 0, None
+    for row in sorted(counted.groupBy("class").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):
+        total += row["n"]
+        if total > dictionary:
+            break
+        least = row["class"]
+    rows = [] if least is None else counted.filter(F.col("class") >= least).collect()
+    ranked = sorted((-row["times"], row["word"]) for row in rows)
+    return GuessCost({word: at + 1 for at, (_, word) in enumerate(ranked)})
 
 
 def find_secrets(docs: DataFrame, model: GuessCost) -> DataFrame:
