@@ -167,6 +167,11 @@ def nodes_of(text: str, base: list[Span]) -> list[Node]:
     return out
 
 
+def similar(node: Node) -> str:
+    """What nodes that are the same or similar have in common."""
+    return node.key[-7:] if node.key.isdigit() else node.key
+
+
 def edges_of(nodes: list[Node]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Neighbours, and for each node the nearest one before it with the same or similar characters.
 
@@ -176,7 +181,7 @@ def edges_of(nodes: list[Node]) -> tuple[list[tuple[int, int]], list[tuple[int,
     last: dict[str, int] = {}
     skip = []
     for i, node in enumerate(nodes):
-        key = node.key[-7:] if node.key.isdigit() else node.key
+        key = similar(node)
         if key in last:
             skip.append((last[key], i))
         last[key] = i
@@ -230,11 +235,14 @@ class EntityField:
         nodes = nodes_of(text, base)
         if all(n.label is not None for n in nodes):
             return base, []
+        # Looking like a number is not enough: something in the text has to say what it is.
+        told = {similar(n) for n in nodes if n.label is not None}
+        if not any(n.label is None and similar(n) in told for n in nodes):
+            return base, []
         p = self.marginals(nodes)
         best = p[:, :OTHER].argmax(axis=1)
-        return base, [
-            Span(KINDS[best[i]], n.start, n.end) for i, n in enumerate(nodes) if n.label is None and p[i, best[i]] >= CERTAIN
-        ]
+        sure = [i for i, n in enumerate(nodes) if n.label is None and similar(n) in told and p[i, best[i]] >= CERTAIN]
+        return base, [Span(KINDS[best[i]], nodes[i].start, nodes[i].end) for i in sure]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:

@@ -58,7 +58,7 @@ def test_repeated_entities_are_labelled_alike(spark):
 
 def test_clean_texts_stay(spark):
     field = trained(spark)
-    for text in ("Order 12345678 of 2024-10-12, see 12345678.", "", None, "no digits at all. at home", "3.14159265 and 1000000"):
+    for text in ("Order 12345678 of 2024-10-12, see 12345678.", "", None, "no digits at all. at home", "3.14159265 and 1000000", "version 10.300.2.1", "4044139746238705 is no card"):
         assert field.spans(text) == ([], [])
         assert pii.redact(text, []) == text
 
