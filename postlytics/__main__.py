@@ -12,7 +12,7 @@ import os
 
 from pyspark.sql import SparkSession
 
-from postlytics.operators import profiles
+from postlytics.operators import clustering, profiles
 from postlytics.plans import jobs
 from postlytics.sources.centers import read_centers, read_vocabulary, write_centers, write_vocabulary
 from postlytics.sources.posts import numbered_paths
@@ -39,9 +39,9 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--output", required=True)
     parser.add_argument("--centers", help="saved centres, for predict-users and analyze-clusters")
     parser.add_argument("--form", default="table", choices=["table", "blocks", "lines"], help="form of the centres")
-    parser.add_argument("--k", type=int, default=30)
-    parser.add_argument("--tol", type=float, default=0.1)
-    parser.add_argument("--max-iter", type=int, default=10)
+    parser.add_argument("--k", type=int, default=clustering.CLUSTERS)
+    parser.add_argument("--tol", type=float, default=clustering.TOLERANCE)
+    parser.add_argument("--max-iter", type=int, default=clustering.MAX_ROUNDS)
     parser.add_argument("--limit", type=int, help="rows of word-histogram; all if not given")
     parser.add_argument("--descending", action="store_true", help="word-histogram from the most occurrences down")
     parser.add_argument("--pair-count-above", type=int, help="informative-words: pairs counted more often than that")

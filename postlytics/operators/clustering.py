@@ -149,11 +149,17 @@ def _step(vectors: DataFrame, centers: DataFrame, shape: _Shape, sent: list[Broa
     )
 
 
+# Number of clusters, move at which rounds end, most rounds.
+CLUSTERS = 30
+TOLERANCE = 0.1
+MAX_ROUNDS = 10
+
+
 def fit(
     vectors: DataFrame,
-    k: int = 30,
-    tol: float = 0.1,
-    max_iter: int = 10,
+    k: int = CLUSTERS,
+    tol: float = TOLERANCE,
+    max_iter: int = MAX_ROUNDS,
     centers: DataFrame | None = None,
     seed: str = "",
 ) -> KMeansFit:

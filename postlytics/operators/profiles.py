@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postlytics.sources.staging import cut_lineage
 
+# Posts of an active author, occurrences of a frequent word.
 MIN_POSTS = 7
 MIN_OCCURS = 10_000
 # Largest vocabulary that is broadcast: a short string and an int per word.

@@ -59,9 +59,9 @@ def informative_words(
 def cluster_users(
     spark: SparkSession,
     paths: Iterable[str],
-    k: int = 30,
-    tol: float = 0.1,
-    max_iter: int = 10,
+    k: int = clustering.CLUSTERS,
+    tol: float = clustering.TOLERANCE,
+    max_iter: int = clustering.MAX_ROUNDS,
     min_posts: int = profiles.MIN_POSTS,
     min_occurs: int = profiles.MIN_OCCURS,
     seed: str = "",
