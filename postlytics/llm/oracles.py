@@ -31,4 +31,44 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-ORACLES: dict[str, str] = {"op9_mixing": OP9_MIXING}
+_NEXT = ", ".join(f"lead(word, {k}) OVER o" for k in range(20))
+
+OP4_SUBSTRINGS = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS MATERIALIZED (
+  SELECT doc_id, len(w) AS size, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+), windows AS (
+  SELECT doc_id, p, size, concat_ws(' ', {_NEXT}) AS said FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY p)
+), ranked AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY said ORDER BY doc_id, p) AS n FROM windows WHERE p <= size - 19
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM ranked WHERE n > 1
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP5_EMBEDDINGS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95
+), reached AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(least_id, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(least_id, vec_id)) AS kept
+FROM embeddings
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+LEFT JOIN (SELECT a AS vec_id, min(b) AS least_id FROM reached GROUP BY a) USING (vec_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_substrings": OP4_SUBSTRINGS, "op5_embeddings": OP5_EMBEDDINGS, "op9_mixing": OP9_MIXING}
