@@ -19,7 +19,7 @@ UNDETERMINED = "und"
 GRAMS = (2, 3, 4)
 #: A language contains an n-gram that makes up at least this share of its n-grams of that length.
 LEAST_SHARE = 5e-5
-#: About so many labelled texts are learnt from at most.
+#: About so many labelled texts of each language are learnt from at most.
 SAMPLE_DOCS = 20_000
 SLOTS = 1 << 19
 HASHES = 2
@@ -61,9 +61,14 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def _bits(languages: int) -> list[np.int64]:
+    """The bits of one filter word that so many languages take."""
+    return [np.int64(1 << b) for b in range(min(languages, LANGUAGES))]
+
+
 @dataclass
 class LanguageFilters:
-    """``table`` has one bit per language in each slot; ``rate`` is each language's chance to answer a foreign n-gram."""
+    """``table`` has one bit per language in each slot, 63 languages a row; ``rate`` is each language's chance to answer a foreign n-gram."""
 
     languages: list[str]
     table: np.ndarray
@@ -78,8 +83,11 @@ class LanguageFilters:
             # Pieces overlap by less than an n-gram, and long texts stay small in memory.
             h = np.concatenate(gram_hashes(text[at : at + _PIECE]))
             n += len(h)
-            found = np.bitwise_and.reduce([self.table[s] for s in slots_of(h)])
-            hits += [np.count_nonzero(found & np.int64(1 << b)) for b in range(len(self.languages))]
+            slots = slots_of(h)
+            for word, row in enumerate(self.table):
+                found = np.bitwise_and.reduce([row[s] for s in slots])
+                first = word * LANGUAGES
+                hits[first : first + LANGUAGES] += [np.count_nonzero(found & bit) for bit in _bits(len(self.languages) - first)]
         true = np.maximum((hits - n * self.rate) / np.maximum(1 - self.rate, 1e-9), 0)
         best = int(true.argmax())  # of equals, the first by code point
         total = true.sum()
@@ -89,17 +97,18 @@ class LanguageFilters:
 def fit_languages(docs: DataFrame, sample: int = SAMPLE_DOCS, least_share: float = LEAST_SHARE) -> LanguageFilters:
     """Learn from ``docs`` (text, lang) with a language; others are not read.
 
-    Learns from ``sample`` texts or so, chosen by a hash of the text: a bound for
-    the model's cost, not for what it is applied to. What comes to the driver is one
-    number for each slot of the filter.
+    Learns from ``sample`` texts of each language or so, chosen by a hash of the text,
+    and from all of a language that has fewer: a bound for the model's cost, not for
+    what it is applied to. What comes to the driver is one number for each slot of the
+    filter and 63 languages.
     """
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     counts = {row["lang"]: row["count"] for row in labelled.groupBy("lang").count().collect()}
-    languages = sorted(counts)[:LANGUAGES]
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"a filter holds {LANGUAGES} languages, the labels have {len(counts)}")
-    share = min(1.0, sample / max(1, sum(counts.values())))
-    chosen = F.shiftrightunsigned(F.xxhash64("text"), 1) < F.lit(min(int(share * 2**63), 2**63 - 1))
+    languages = sorted(counts)
+    # One row for each language: its bit, and the hashes up to which its texts are learnt from.
+    bounds = [(x, b, min(int(min(1.0, sample / counts[x]) * 2**63), 2**63 - 1)) for b, x in enumerate(languages)]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, number int, bound long"))
+    chosen = labelled.join(bounds, "lang").filter(F.shiftrightunsigned(F.xxhash64("text"), 1) <= F.col("bound")).select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -109,24 +118,25 @@ def fit_languages(docs: DataFrame, sample: int = SAMPLE_DOCS, least_share: float
                     gram, times = np.unique(np.concatenate(arrays), return_counts=True)
                     yield pd.DataFrame({"lang": lang, "n": n, "gram": gram.view(np.int64), "times": times})
 
-    grams = labelled.filter(chosen).mapInPandas(count, "lang string, n int, gram long, times long")
+    grams = chosen.mapInPandas(count, "lang string, n int, gram long, times long")
     grams = cut_lineage(grams.groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")), "grams")
     totals = grams.groupBy("lang", "n").agg(F.sum("times").alias("total"))
     part = F.col("times") / F.col("total")
-    bit = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1 if languages else F.lit(0)
     # One row for each language and length.
     kept = grams.join(F.broadcast(totals), ["lang", "n"]).filter(part >= least_share)
-    kept = kept.select("gram", F.pow(F.lit(2.0), bit).cast("long").alias("mask"))
+    bit = F.pow(F.lit(2.0), F.col("number") % LANGUAGES).cast("long")
+    kept = kept.join(bounds, "lang").select("gram", F.floor(F.col("number") / LANGUAGES).cast("long").alias("word"), bit.alias("mask"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for slot in slots_of(batch["gram"].to_numpy().view(np.uint64)):
-                yield pd.DataFrame({"slot": slot.astype(np.int64), "mask": batch["mask"]})
+                yield pd.DataFrame({"slot": slot.astype(np.int64), "word": batch["word"], "mask": batch["mask"]})
 
-    rows = kept.mapInPandas(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
-    table = np.zeros(SLOTS, dtype=np.int64)
-    table[rows["slot"].to_numpy()] = rows["mask"].to_numpy()
-    filled = np.array([np.count_nonzero(table & np.int64(1 << b)) / SLOTS for b in range(len(languages))])
+    placed = kept.mapInPandas(place, "slot long, word long, mask long")
+    rows = placed.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table = np.zeros((-(-len(languages) // LANGUAGES), SLOTS), dtype=np.int64)
+    table[rows.column("word").to_numpy(), rows.column("slot").to_numpy()] = rows.column("mask").to_numpy()
+    filled = np.array([np.count_nonzero(row & bit) / SLOTS for w, row in enumerate(table) for bit in _bits(len(languages) - w * LANGUAGES)])
     return LanguageFilters(languages, table, filled**HASHES)
 
 
