@@ -71,4 +71,43 @@ LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_i
 LEFT JOIN (SELECT a AS vec_id, min(b) AS least_id FROM reached GROUP BY a) USING (vec_id)
 """
 
-ORACLES: dict[str, str] = {"op4_substrings": OP4_SUBSTRINGS, "op5_embeddings": OP5_EMBEDDINGS, "op9_mixing": OP9_MIXING}
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0"
+
+OP12_NEGATIVES = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND {_FINITE}
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+OP13_TOPK = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)) AS x FROM embeddings WHERE {_FINITE}
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, row_number() OVER w AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 20
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_substrings": OP4_SUBSTRINGS,
+    "op5_embeddings": OP5_EMBEDDINGS,
+    "op9_mixing": OP9_MIXING,
+    "op12_negatives": OP12_NEGATIVES,
+    "op13_topk": OP13_TOPK,
+}
