@@ -71,6 +71,46 @@ LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_i
 LEFT JOIN (SELECT a AS vec_id, min(b) AS least_id FROM reached GROUP BY a) USING (vec_id)
 """
 
+OP11_PHRASES = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), p AS MATERIALIZED (
+  SELECT lang, w, len(w) AS size FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d) WHERE len(w) > 0
+), f1 AS MATERIALIZED (
+  SELECT lang, w1, count(*) AS f FROM (SELECT lang, unnest(w) AS w1 FROM p) GROUP BY ALL
+), f2 AS MATERIALIZED (
+  SELECT lang, w[i] AS w1, w[i + 1] AS w2, count(*) AS f
+  FROM (SELECT lang, w, unnest(range(1, size)) AS i FROM p) GROUP BY ALL
+), f3 AS MATERIALIZED (
+  SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS f
+  FROM (SELECT lang, w, unnest(range(1, size - 1)) AS i FROM p) GROUP BY ALL HAVING count(*) >= 10
+), c2 AS (
+  SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, l.f AS l, r.f AS r,
+    (1000000::HUGEINT * f2.f * f2.f) // (l.f::HUGEINT * r.f) AS score
+  FROM f2 JOIN f1 l ON l.lang = f2.lang AND l.w1 = f2.w1 JOIN f1 r ON r.lang = f2.lang AND r.w1 = f2.w2
+  WHERE f2.f >= 10
+    AND NOT EXISTS (FROM f3 WHERE f3.lang = f2.lang AND f3.w1 = f2.w1 AND f3.w2 = f2.w2 AND 100 * f3.f >= 50 * f2.f)
+    AND NOT EXISTS (FROM f3 WHERE f3.lang = f2.lang AND f3.w2 = f2.w1 AND f3.w3 = f2.w2 AND 100 * f3.f >= 50 * f2.f)
+), c3 AS (
+  SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 AS phrase, f3.f AS a, x.f AS l1, y.f AS r1, u.f AS l2, v.f AS r2,
+    (1000000::HUGEINT * f3.f * f3.f) // (x.f::HUGEINT * y.f) AS s1, (1000000::HUGEINT * f3.f * f3.f) // (u.f::HUGEINT * v.f) AS s2
+  FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w1 = f3.w1
+  JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+  JOIN f2 u ON u.lang = f3.lang AND u.w1 = f3.w1 AND u.w2 = f3.w2
+  JOIN f1 v ON v.lang = f3.lang AND v.w1 = f3.w3
+), c AS (
+  SELECT lang, phrase, a, l, r, score FROM c2 UNION ALL
+  SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END, CASE WHEN s2 < s1 THEN r2 ELSE r1 END, least(s1, s2) FROM c3
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang
+)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM c JOIN n USING (lang)
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER w <= 2000
+"""
+
 _FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0"
 
 OP12_NEGATIVES = f"""
@@ -108,6 +148,7 @@ ORACLES: dict[str, str] = {
     "op4_substrings": OP4_SUBSTRINGS,
     "op5_embeddings": OP5_EMBEDDINGS,
     "op9_mixing": OP9_MIXING,
+    "op11_phrases": OP11_PHRASES,
     "op12_negatives": OP12_NEGATIVES,
     "op13_topk": OP13_TOPK,
 }

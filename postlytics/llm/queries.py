@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlytics.llm import decontaminate, embeddings, html, language, licenses, mixing, negatives, pii, secrets, simhash, substrings, topk
+from postlytics.llm import decontaminate, embeddings, html, language, licenses, mixing, negatives, phrases, pii, secrets, simhash, substrings, topk
 from postlytics.llm.words import count_words
 
 
@@ -66,6 +66,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
+    "op11_phrases": op11_phrases,
     "op12_negatives": op12_negatives,
     "op13_topk": op13_topk,
 }

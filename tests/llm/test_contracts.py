@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_decontaminate": (None, "doc_id bigint, item_id bigint"),
     "op9_mixing": ("documents", "doc_id bigint, size bigint, source_size bigint, target double, taken bigint"),
     "op10_secrets": ("documents", "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"),
+    "op11_phrases": (None, "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint"),
     "op12_negatives": (None, "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"),
     "op13_topk": (None, "query_id bigint, rank int, vec_id bigint, score bigint"),
 }
