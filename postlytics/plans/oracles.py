@@ -35,7 +35,8 @@ df AS MATERIALIZED (
 def _pairs(above: int = 0) -> str:
     return f"""{_WORDS},
 coded AS MATERIALIZED (
-  SELECT list(id) AS ids, list(id) FILTER (WHERE content) AS firsts FROM words JOIN df USING (token, tag) GROUP BY post
+  SELECT list(id) AS ids, list(id) FILTER (WHERE content) AS firsts
+  FROM words JOIN df USING (token, tag) WHERE df > {above} GROUP BY post
 ),
 anchored AS (SELECT ids, unnest(firsts) AS w1 FROM coded),
 listed AS (SELECT w1, unnest(ids) AS w2 FROM anchored),
