@@ -2,7 +2,7 @@
 
 Vectors are ``(user_id, n_posts, indices, values)`` and centres ``(cid, indices,
 values)``, one row each.  Assigning a vector is narrow: centres travel to the
-tasks as matrices of bounded size.  Only sums per centre and word are shuffled, after they
+tasks as blocks of bounded size that hold their non-zero coordinates by word.  Only sums per centre and word are shuffled, after they
 were combined in each task.
 """
 
@@ -10,17 +10,16 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlytics.functions.nearest import nearest_center
+from postlytics.functions.nearest import Block, make_block, nearest_center
 from postlytics.functions.text import each
 from postlytics.sources.staging import cut_lineage, free
 
-# Coordinates of 8 bytes in one block of centres that is sent to the tasks: 128 MB.
-BROADCAST_COORDINATES = 16_000_000
+# Non-zero coordinates in one block of centres that is sent to the tasks, of 12 bytes and one word's place: up to 240 MB.
+BROADCAST_COORDINATES = 10_000_000
 # Index of the constant entry that carries a count through a sum.
 _UNIT = -1
 
@@ -61,50 +60,54 @@ def center_entries(centers: DataFrame) -> DataFrame:
 
 
 class _Shape(NamedTuple):
-    """Number of centres, their largest id, coordinates they span, and their summed move if they moved."""
+    """Of each block of centres the first and last id, and the centres' summed move if they moved."""
 
-    k: int
-    last: int
-    width: int
+    blocks: list[tuple[int, int]]
     moved: float
 
 
 def _shape(centers: DataFrame) -> _Shape:
-    moved = F.sum("moved") if "moved" in centers.columns else F.lit(0.0)
-    width = F.coalesce(F.max(F.array_max("indices")) + 1, F.lit(0))
-    return _Shape(*centers.agg(F.count("*"), F.coalesce(F.max("cid"), F.lit(0)), width, F.coalesce(moved, F.lit(0.0))).first())
-
-
-def _center_matrix(centers: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centre ids in order, and their coordinates as one row each."""
-    found = centers.select("cid", "indices", "values").toArrow().sort_by("cid").combine_chunks()
+    """Cut ``centers`` into runs of ids with a bounded number of non-zero coordinates; one short row a centre comes to the driver."""
+    moved = F.col("moved") if "moved" in centers.columns else F.lit(0.0)
+    blocks, left, total = [], 0, 0.0
+    for cid, size, move in centers.select("cid", F.size("indices"), moved).sort("cid").collect():
+        total += move
+        if left >= size and blocks:
+            blocks[-1] = (blocks[-1][0], cid)
+            left -= size
+        else:
+            blocks.append((cid, cid))
+            left = BROADCAST_COORDINATES - size
+    return _Shape(blocks, total)
+
+
+def _center_block(centers: DataFrame, first: int, last: int) -> Block:
+    """The centres with ids ``first`` to ``last``."""
+    found = centers.filter(F.col("cid").between(first, last)).select("cid", "indices", "values").toArrow().sort_by("cid").combine_chunks()
     indices, values = (found[name].combine_chunks() for name in ("indices", "values"))
-    row = np.repeat(np.arange(len(indices)), indices.value_lengths().to_numpy())
-    matrix = np.zeros((len(indices), max(width, 1)))
-    matrix[row, indices.flatten().to_numpy()] = values.flatten().to_numpy()
-    return found["cid"].to_numpy(), matrix
+    sizes, index, value = indices.value_lengths().to_numpy(), indices.flatten().to_numpy(), values.flatten().to_numpy()
+    return make_block(found["cid"].to_numpy(), sizes, index, value)
 
 
 def assign(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     """Vectors with ``cid`` and ``distance2`` of their nearest centre, ties to the lowest id.
 
-    Narrow whatever the centres' size: they are sent as blocks of bounded size, and
-    one rule compares them all.
+    Narrow whatever the centres' size: their non-zero coordinates are sent as blocks of
+    bounded size, and one rule compares them all.
     """
     return _assign(vectors, centers, _shape(centers), [])
 
 
 def _assign(vectors: DataFrame, centers: DataFrame, shape: _Shape, sent: list[Broadcast]) -> DataFrame:
     """``sent`` gets what was broadcast, for whoever knows when it is done with."""
-    if not shape.k:
+    if not shape.blocks:
         raise ValueError("there are no centres")
     context = vectors.sparkSession.sparkContext
-    step = max(1, BROADCAST_COORDINATES // max(1, shape.width))
     blocks, largest = [], 0.0
-    for first in range(0, shape.last + 1, step):
-        ids, matrix = _center_matrix(centers.filter(F.col("cid").between(first, first + step - 1)), shape.width)
-        largest = max(largest, float(np.einsum("ij,ij->i", matrix, matrix).max(initial=0.0)))
-        blocks.append(context.broadcast((ids, matrix)))
+    for first, last in shape.blocks:
+        block = _center_block(centers, first, last)
+        largest = max(largest, float(block.norms.max()))
+        blocks.append(context.broadcast(block))
     sent += blocks
     found = vectors.withColumn("nearest", nearest_center(blocks, largest)("indices", "values"))
     return found.select(*vectors.columns, "nearest.cid", "nearest.distance2")
@@ -171,7 +174,7 @@ def fit(
     start = sample_centers(vectors, k, seed) if centers is None else centers
     current = cut_lineage(start.select("cid", "indices", "values"), "centers")
     shape, iterations, delta = _shape(current), 0, 1.0
-    while shape.k and delta > tol and iterations < max_iter:
+    while shape.blocks and delta > tol and iterations < max_iter:
         sent: list[Broadcast] = []
         before, current = current, cut_lineage(_step(vectors, current, shape, sent), "centers")
         # The round is written; what it was made from is not read again.

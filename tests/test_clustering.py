@@ -1,8 +1,10 @@
+import pickle
 import random
 
 import numpy as np
 import pytest
 
+from postlytics.functions import nearest
 from postlytics.operators import clustering
 from postlytics.operators.clustering import assign, center_entries, fit, lloyd_step, sample_centers
 from postlytics.sources import staging
@@ -109,6 +111,27 @@ def test_equally_far_centers_of_any_size(spark, blocks, scale):
     assert {cid for cid, _ in found.values()} == {0}
 
 
+def test_a_million_words(spark, monkeypatch):
+    """What is sent grows with the non-zero coordinates, not with the vocabulary, and steps are cut without loss."""
+    rng = np.random.default_rng(12)
+    sparse = [{int(i): float(v) for i, v in zip(rng.integers(0, 1_000_000, 40), rng.normal(size=40))} for _ in range(30)]
+    points = {u: {**dict(list(sparse[u % 30].items())[: u % 25]), **({999_999: 0.5} if u % 3 else {})} for u in range(80)}
+    centers = centers_of(spark, sparse)
+    shape = clustering._shape(centers)
+    sent = sum(len(pickle.dumps(clustering._center_block(centers, *ends))) for ends in shape.blocks)
+    assert sent < 40 * sum(map(len, sparse)) + 2000
+
+    def distance(p, c):
+        return sum((p.get(i, 0.0) - c.get(i, 0.0)) ** 2 for i in {*p, *c})
+
+    expected = {u: min((round(distance(p, c), 9), cid) for cid, c in enumerate(sparse)) for u, p in points.items()}
+    for cells, products in ((2_000_000, 4_000_000), (64, 50)):
+        monkeypatch.setattr(nearest, "_CELLS", cells)
+        monkeypatch.setattr(nearest, "_PRODUCTS", products)
+        found = assigned(assign(vectors_of(spark, points), centers))
+        assert {u: (round(d, 9), cid) for u, (cid, d) in found.items()} == expected
+
+
 def test_no_centers(spark):
     with pytest.raises(ValueError, match="no centres"):
         assign(vectors_of(spark, {1: {0: 1.0}}), centers_of(spark, [{}]).limit(0))
