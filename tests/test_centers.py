@@ -87,3 +87,34 @@ def test_misnumbered_table_is_refused(spark, tmp_path):
     write_centers(centers, str(tmp_path / "a"))
     with pytest.raises(ValueError, match="not numbered"):
         read_centers(spark, str(tmp_path / "a"))
+
+
+@pytest.mark.parametrize("form", ["blocks", "lines"])
+@pytest.mark.parametrize("split", ["37", "200", "128m"])
+def test_a_dump_is_read_in_several_tasks(spark, tmp_path, form, split):
+    """Wherever a dump is split, its centres and their numbers are the same."""
+    centers = [(c, list(range(c % 5)), [c + i / 8 for i in range(c % 5)]) for c in range(23)]
+    df = spark.createDataFrame(centers, "cid int, indices array<int>, values array<double>")
+    path = str(tmp_path / "dump")
+    write_centers(df, path, form, header="some header\n=== not a separator\n==========longer\n\n")
+    settings = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": "1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        tasks = spark.read.option("lineSep", "\n").text(path).rdd.getNumPartitions()
+        assert tasks > 4 or split == "128m"
+        found = sorted((r["cid"], r["indices"], r["values"]) for r in read_centers(spark, path, form, k=23).collect())
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert found == centers
+
+
+def test_lines_end_as_they_like(spark, tmp_path):
+    text = "==========\r\n0 0 1.5\r\n\r\n  3 0 1.0E-4 \r\n========== \t\r\n\n==========\n==========\n==========\n7 0 2"
+    (tmp_path / "blocks").write_text(text)
+    found = sorted((r["cid"], r["indices"], r["values"]) for r in read_centers(spark, str(tmp_path / "blocks"), "blocks").collect())
+    assert found == [(0, [0, 3], [1.5, 1e-4]), (1, [], []), (2, [7], [2.0])]
+    (tmp_path / "lines").write_text("V((0,1.5), (3,1.0E-4))\r\nV()\r\n\r\nV((7,2))\r\n\r\n\n")
+    found = sorted((r["cid"], r["indices"], r["values"]) for r in read_centers(spark, str(tmp_path / "lines"), "lines").collect())
+    assert found == [(0, [0, 3], [1.5, 1e-4]), (1, [], []), (2, [], []), (3, [7], [2.0])]
