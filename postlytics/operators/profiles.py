@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlytics.functions.membership import bloom_filter, may_hold
 from postlytics.sources.staging import cut_lineage
 
 # Posts of an active author, occurrences of a frequent word.
@@ -32,13 +33,17 @@ class Profiles(NamedTuple):
 
 
 def user_token_counts(posts: DataFrame, users: DataFrame) -> DataFrame:
-    """``(user_id, n_posts, token, occurs)`` of the authors in ``users``; other authors' words are never spread out."""
-    return (
-        posts.join(users, "user_id")
-        .select("user_id", "n_posts", F.explode("tokens").alias("token"))
-        .groupBy("user_id", "n_posts", "token")
-        .agg(F.count("*").alias("occurs"))
-    )
+    """``(user_id, n_posts, token, occurs)`` of the authors in ``users``.
+
+    A Bloom filter of the authors drops nearly all other posts before their words
+    are spread out. Words are then counted per author and only the counts meet
+    the authors: however many posts an author wrote, one row for each of the
+    author's distinct words does, and their shuffle is by author and word.
+    """
+    theirs = may_hold(posts.select("user_id", "tokens"), "user_id", bloom_filter(users, "user_id"))
+    words = theirs.select("user_id", F.explode("tokens").alias("token"))
+    counted = words.groupBy("user_id", "token").agg(F.count("*").alias("occurs"))
+    return counted.join(users, "user_id").select("user_id", "n_posts", "token", "occurs")
 
 
 def active_users(posts: DataFrame, min_posts: int = MIN_POSTS) -> DataFrame:

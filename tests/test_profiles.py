@@ -88,3 +88,34 @@ def test_nobody_active(spark):
     found = build_profiles(as_df(spark, [(1, ["a"])]), 7, 1)
     assert found.size == 0
     assert user_vectors(found).count() == 0
+
+
+def test_an_author_with_a_third_of_the_posts(spark):
+    """A bot's posts are counted before they meet the authors: its rows in the author join are its distinct words."""
+    posts = [(1, ["a", "b", "a"])] * 400 + [(u, ["a", f"w{u}"]) for u in range(2, 202) for _ in range(4)] + [(None, ["a"])]
+    df = spark.createDataFrame(posts, "user_id long, tokens array<string>").repartition(4)
+    users = profiles.active_users(df, 4)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = profiles.user_token_counts(df, users)
+        text = found._jdf.queryExecution().executedPlan().toString()
+        rows = {(r["user_id"], r["token"]): (r["n_posts"], r["occurs"]) for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert rows[1, "a"] == (400, 800) and rows[1, "b"] == (400, 400)
+    assert rows[2, "a"] == (4, 4) and len(rows) == 2 + 2 * 200 and (None, "a") not in rows
+    # The posts' side: filter by broadcast, spread, count by author and word, and only then the author join.
+    counted = text.index("partial_count(1)")
+    assert text.index("SortMergeJoin") < text.index("hashpartitioning(user_id") < counted < text.index("Generate explode")
+    assert "BroadcastHashJoin" in text[text.index("Generate explode") :]
+
+
+def test_other_authors_words_are_not_spread_out(spark):
+    posts = spark.createDataFrame([(u, ["a", "b"]) for u in range(1000)] + [(7, ["c"])], "user_id long, tokens array<string>")
+    users = profiles.active_users(posts, 2)
+    found = profiles.user_token_counts(posts, users)
+    assert sorted(map(tuple, found.collect())) == [(7, 2, "a", 1), (7, 2, "b", 1), (7, 2, "c", 1)]
