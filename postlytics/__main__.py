@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from postlytics.operators import clustering, profiles
 from postlytics.plans import jobs
 from postlytics.sources.centers import read_centers, read_vocabulary, write_centers, write_vocabulary
+from postlytics.sources.observed import ROWS, observe
 from postlytics.sources.posts import numbered_paths
 from postlytics.sources.reports import write_report
 
@@ -26,6 +27,12 @@ COUNTS = {
     "word-histogram": jobs.word_frequency_histogram,
     "informative-words": jobs.informative_words,
 }
+# What is told of a result besides, counted while it is written.
+COUNTED = {
+    "user-histogram": {**ROWS, "users": "sum(keys)"},
+    "word-histogram": {**ROWS, "words": "sum(keys)"},
+    "predict-users": {**ROWS, "users": "count(user_id)"},
+}
 CLUSTERS = ("cluster-users", "predict-users", "analyze-clusters")
 
 
@@ -61,26 +68,28 @@ def main(argv: list[str] | None = None) -> None:
 
     if args.job == "word-histogram":
         found = jobs.word_frequency_histogram(spark, paths, not args.descending, args.limit)
-        write_report(found, args.output)
-        print(f"{spark.read.text(args.output).count()} rows")
+        told = write_report(found, args.output, COUNTED[args.job])
     elif args.job == "informative-words":
-        write_report(jobs.informative_words(spark, paths, args.pair_count_above), args.output)
+        told = write_report(jobs.informative_words(spark, paths, args.pair_count_above), args.output)
     elif args.job in COUNTS:
-        write_report(COUNTS[args.job](spark, paths), args.output)
+        told = write_report(COUNTS[args.job](spark, paths), args.output, COUNTED.get(args.job, ROWS))
     elif args.job == "cluster-users":
         fitted = jobs.cluster_users(spark, paths, args.k, args.tol, args.max_iter, **limits)
-        write_centers(fitted.centers, args.output, args.form)
+        centers, counted = observe(fitted.centers)
+        write_centers(centers, args.output, args.form)
         write_vocabulary(fitted.vocabulary, args.output)
+        told = counted() | {"users": fitted.users}
     else:
         centers = read_centers(spark, args.centers, args.form)
         limits["vocabulary"] = read_vocabulary(spark, args.centers)
         if args.job == "predict-users":
             members = jobs.predict_users(spark, paths, centers, **limits)
-            write_report(members.orderBy("cid", "user_id"), args.output)
+            told = write_report(members.orderBy("cid", "user_id"), args.output, COUNTED[args.job])
         else:
             tokens, users = jobs.analyze_clusters(spark, paths, centers, **limits)
-            write_report(tokens.orderBy("cid", "rank"), f"{args.output}/tokens")
-            write_report(users.orderBy("cid", "rank"), f"{args.output}/users")
+            told = write_report(tokens.orderBy("cid", "rank"), f"{args.output}/tokens", {"tokens": "count(1)"})
+            told |= write_report(users.orderBy("cid", "rank"), f"{args.output}/users", {"users": "count(1)"})
+    print(", ".join(f"{n} {name}" for name, n in told.items()))
 
 
 if __name__ == "__main__":

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from postlytics.functions.nearest import Block, make_block, nearest_center
 from postlytics.functions.text import each
-from postlytics.sources.staging import cut_lineage, free
+from postlytics.sources.staging import cut_lineage, cut_lineage_counted, free
 
 # Non-zero coordinates in one block of centres that is sent to the tasks, of 12 bytes and one word's place: up to 240 MB.
 BROADCAST_COORDINATES = 10_000_000
@@ -25,12 +25,13 @@ _UNIT = -1
 
 
 class KMeansFit(NamedTuple):
-    """centers (cid, size, indices, values); number of rounds; last total move; the words that indices mean, if known."""
+    """centers (cid, size, indices, values); number of rounds; last total move; the words that indices mean, if known; number of users."""
 
     centers: DataFrame
     iterations: int
     delta: float
     vocabulary: DataFrame | None = None
+    users: int | None = None
 
 
 def sample_centers(vectors: DataFrame, k: int, seed: str = "") -> DataFrame:
@@ -170,7 +171,7 @@ def fit(
 
     Starts from ``centers`` or from ``k`` sampled vectors.
     """
-    vectors = cut_lineage(vectors, "vectors")
+    vectors, counted = cut_lineage_counted(vectors, "vectors")
     start = sample_centers(vectors, k, seed) if centers is None else centers
     current = cut_lineage(start.select("cid", "indices", "values"), "centers")
     shape, iterations, delta = _shape(current), 0, 1.0
@@ -185,4 +186,4 @@ def fit(
         iterations, delta = iterations + 1, shape.moved
     free(vectors)
     columns = [c for c in ("cid", "size", "indices", "values") if c in current.columns]
-    return KMeansFit(current.select(*columns), iterations, delta)
+    return KMeansFit(current.select(*columns), iterations, delta, users=counted["rows"])

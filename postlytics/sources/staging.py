@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import shutil
 import tempfile
+from collections.abc import Mapping
 from functools import cache
 from urllib.parse import urlparse
 from uuid import uuid4
@@ -14,6 +15,8 @@ from weakref import WeakKeyDictionary
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+from postlytics.sources.observed import ROWS, observe
+
 #: Setting of a cluster whose machines mount the same folder at the same local path.
 MOUNTED = "spark.postlytics.mountedFolder"
 #: Where staged tables lie.
@@ -74,6 +77,12 @@ def cut_lineage(df: DataFrame, label: str = "staged") -> DataFrame:
     return staged
 
 
+def cut_lineage_counted(df: DataFrame, label: str, counts: Mapping[str, str] = ROWS) -> tuple[DataFrame, dict[str, int]]:
+    """``cut_lineage``, and ``counts`` (name to SQL aggregate) of the rows, taken while they are written."""
+    watched, told = observe(df, counts)
+    return cut_lineage(watched, label), told()
+
+
 def free(staged: DataFrame) -> None:
     """Remove the table behind what ``cut_lineage`` gave; nothing made from it may be read after that."""
     path = _staged.pop(staged, None)

@@ -141,3 +141,34 @@ def test_command_line(spark, corpus, tmp_path):
     main(["analyze-clusters", "--output", out, "--centers", centers, "--form", "lines", *limits, *paths["tagged"]])
     assert all(line.count("\t") == 3 for line in read_report(f"{out}/tokens"))
     assert len(read_report(f"{out}/users")) == len(members)
+
+
+def test_every_job_tells_its_counts(spark, corpus, tmp_path, capsys):
+    posts, paths = corpus
+    active = sum(n >= 7 for n in Counter(u for _, u, _ in posts).values())
+    words = Counter(w for _, _, ws in posts for w in ws)
+    histogram = Counter(Counter(u for _, u, _ in posts).values())
+    centers, limits = str(tmp_path / "centers"), ["--min-posts", "7", "--min-occurs", "10"]
+    expected = {
+        "unique-posts": "1 rows",
+        "malformed-posts": "1 rows",
+        "unique-words": "1 rows",
+        "user-histogram": f"{len(histogram)} rows, {sum(histogram.values())} users",
+        "word-histogram": f"{len(set(words.values()))} rows, {len(words)} words",
+        "informative-words": f"{len({w for w in words if w[0] == 'a'})} rows",
+        "cluster-users": f"2 rows, {active} users",
+        "predict-users": f"{active} rows, {active} users",
+        "analyze-clusters": f"{len(words)} tokens, {active} users",
+    }
+    for job, told in expected.items():
+        kind = "raw" if job in ("unique-posts", "malformed-posts", "unique-words", "user-histogram", "word-histogram") else "tagged"
+        out = centers if job == "cluster-users" else str(tmp_path / job)
+        main([job, "--output", out, "--centers", centers, "--k", "2", *limits, *paths[kind]])
+        assert capsys.readouterr().out.strip().splitlines()[-1] == told
+
+
+def test_fit_tells_its_users(spark, corpus):
+    posts, paths = corpus
+    active = sum(n >= 7 for n in Counter(u for _, u, _ in posts).values())
+    assert jobs.cluster_users(spark, paths["tagged"], k=2, min_posts=7, min_occurs=10).users == active
+    assert jobs.cluster_users(spark, [], k=3).users == 0
