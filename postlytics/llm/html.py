@@ -42,7 +42,11 @@ _CHROME = re.compile(
     r"side|social|sponsor|sponsored|subscribe|toolbar|widget|alert|complementary|contentinfo|discussion|responses)(?=$|[\s_-]|\d)",
     re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Words that say what a page has or lacks elsewhere, as in has-sidebar and no-comments.
+_ELSEWHERE = re.compile(r"(?:^|\s)(?:has|no|with|without)[_-]\S*", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Elements that class words do not name, as they hold whole pages or articles.
+_WHOLE = frozenset(["html", "body", "main", "article"])
 _TOKEN = re.compile(r"""<!--|<!\[CDATA\[|<[!?][^>]*>?|</?([A-Za-z][^\s/>]*)((?:[^>"']|"[^"<]*"|'[^'<]*')*|[^>]*)>""")
 _TAG_END = re.compile(r"</([A-Za-z]+)")
 _BLANKS = re.compile(r"\s+")
@@ -50,13 +54,15 @@ _BLANKS = re.compile(r"\s+")
 _SAME_ENDS = frozenset(["p", "li", "dt", "dd", "option", "tr", "td", "th"])
 
 
-def _marked(attributes: str) -> bool:
+def _marked(element: str, inside: bool, attributes: str) -> bool:
+    """Whether its attributes say that an element is not of the article; ``inside`` one, an article may be a comment."""
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name in ("class", "id", "role") and _CHROME.search(value):
+        named = element not in _WHOLE or element == "article" and inside
+        if named and name in ("class", "id", "role") and _CHROME.search(_ELSEWHERE.sub(" ", value)):
             return True
     return False
 
@@ -123,7 +129,7 @@ def page_lines(source: str | None) -> list[tuple[str, bool]]:
             if name not in _VOID and not m[2].endswith("/"):
                 # A header within an article holds its title.
                 inside = bool(stack) and stack[-1][2]
-                out = bool(stack) and stack[-1][1] or name in _SKIPPED and not (name == "header" and inside) or _marked(m[2])
+                out = bool(stack) and stack[-1][1] or name in _SKIPPED and not (name == "header" and inside) or _marked(name, inside, m[2])
                 stack.append((name, out, inside or name in _MAIN))
             if name in _RAW:
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)

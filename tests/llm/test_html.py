@@ -24,6 +24,25 @@ def test_markup_decides(body, text):
     assert " ".join(t for t, _ in html.page_lines(PAGE % body)) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p style="overflow:hidden">Kept', "Kept"),
+        ('<article><p title="hidden gem">Kept', "Kept"),
+        ('<body class="has-sidebar"><article><p>Kept', "Kept"),
+        ('<article data-id="nav" data-role=menu><p>Kept', "Kept"),
+        ('<main class="no-comments"><p>Kept', "Kept"),
+        ('<html class="js no-search"><body><main><p>Kept', "Kept"),
+        ('<div class="layout with-sidebar"><article id="search" class="related"><p alt="class=ad">Kept', "Kept"),
+        ('<article><p>Kept</p><p hidden>Gone</p><p HIDDEN="">Gone</p><p aria-hidden=true>Gone</p><p aria-hidden="false">Kept</p></article>', "Kept Kept"),
+        ('<article><p>Kept</p><article class="comment"><p>Gone</p></article></article>', "Kept"),
+        ('<div CLASS="Ad"><p>Gone</p></div><div Role=navigation>Gone</div><p>Kept', "Kept"),
+    ],
+)
+def test_attributes_are_read_by_name(page, text):
+    assert " ".join(t for t, _ in html.page_lines(page)) == text
+
+
 def slow_common(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
