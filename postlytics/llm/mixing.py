@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postlytics.llm.words import count_words, numbered
+from postlytics.llm.words import count_words, fresh_names, numbered
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -75,27 +75,25 @@ def mix_sources(
     measured = docs.withColumn("size", F.col(size).cast("long") if size else count_words(F.col("text")))
     measured = measured.drop("source_size", "target", "copies")
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")]
-    ranked = numbered(measured, order, "mix", "_at")
-    sums = ranked.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("_at").alias("_first"))
+    at, first, of, each, offset = fresh_names(measured, "_at", "_first", "_source", "_each", "_offset")
+    ranked = numbered(measured, order, "mix", at)
+    sums = ranked.groupBy("source").agg(F.sum("size").alias("source_size"), F.min(at).alias(first))
     targets = source_targets(sums.select("source", "source_size"), weights, share, max_copies)
-    plan = targets.withColumnsRenamed({"source": "_source"}).join(
-        sums.select(F.col("source").alias("_source_of_first"), "_first"),
-        F.col("_source").eqNullSafe(F.col("_source_of_first")),
-    )
-    joined = ranked.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left")
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    starts = sums.select(F.col("source").alias("_same"), first)
+    plan = targets.join(starts, F.col("source").eqNullSafe(F.col("_same"))).drop("_same").withColumnRenamed("source", of)
+    joined = ranked.join(plan, F.col("source").eqNullSafe(F.col(of)), "left")
+    share_of_each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("source"), F.lit("")))), 1, 8), 16, 10)
-    offset = drawn.cast("double") / F.lit(float(1 << 32))
-    place = F.col("_at") - F.col("_first")
-    crossed = F.floor((place + 1) * F.col("_each") + F.col("_offset")) - F.floor(place * F.col("_each") + F.col("_offset"))
+    place = F.col(at) - F.col(first)
+    crossed = F.floor((place + 1) * F.col(each) + F.col(offset)) - F.floor(place * F.col(each) + F.col(offset))
     return (
-        joined.withColumn("_each", each)
-        .withColumn("_offset", offset)
+        joined.withColumn(each, share_of_each)
+        .withColumn(offset, drawn.cast("double") / F.lit(float(1 << 32)))
         .withColumn("copies", F.least(crossed, F.lit(max_copies)).cast("long"))
-        .drop("_at", "_first", "_source", "_source_of_first", "_each", "_offset")
+        .drop(at, first, of, each, offset)
     )
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
-    """Each document as often as it is taken, with copy from 1 up."""
+    """Each document as often as it is taken, with ``copy`` from 1 up in place of ``copies``; a column called so before gives way."""
     return mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")

@@ -41,28 +41,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, made longer until no column of ``df`` has them in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def numbered(df: DataFrame, order: list, label: str, at: str = "at") -> DataFrame:
-    """``df`` with its position in ``order`` from 0 up, without one task for all rows.
+    """``df`` with its position in ``order`` from 0 up as ``at``, without one task for all rows; other columns stay.
 
     Rows are dealt by range, written with their place in their part, and the
     parts' sizes, one row each, are summed up before them.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mid, part, size, before = fresh_names(df, "_mid", "_part", "_n", "_before")
     placed = (
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_mid", 33))
+        .withColumn(mid, F.monotonically_increasing_id())
+        .withColumn(part, F.shiftright(mid, 33))
     )
     staged = cut_lineage(placed, label)
-    sizes = staged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select(
-        "_part",
-        (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
-    )
-    place = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = staged.groupBy(part).agg(F.count("*").alias(size))
+    summed = F.sum(size).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
+    sizes = sizes.select(part, summed.alias(before))
+    place = F.col(mid).bitwiseAND(F.lit((1 << 33) - 1))
     # One row for each of the shuffle's partitions.
-    return staged.join(F.broadcast(before), "_part").withColumn(at, F.col("_before") + place).drop("_part", "_mid", "_before")
+    return staged.join(F.broadcast(sizes), part).withColumn(at, F.col(before) + place).drop(part, mid, before)
 
 
 def per_text(

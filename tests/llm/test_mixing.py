@@ -2,7 +2,7 @@ from collections import defaultdict
 
 import pytest
 
-from postlytics.llm import mixing
+from postlytics.llm import mixing, simhash
 
 
 def slow_targets(sizes):
@@ -58,3 +58,17 @@ def test_odd_documents(spark, documents, nothing):
 def test_no_python_on_the_way(sized):
     plan = mixing.mix_sources(sized[1], size="words")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_other_columns_stay_whatever_their_names(spark):
+    """Columns called like the operator's own come out as they went in; ``copy`` alone gives way when copies are made."""
+    names = ["_at", "_first", "_source", "_each", "_offset", "_part", "_mid", "_before", "_N", "_doc", "_digest", "copy", "_same"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, f"a b c {i} " * (i + 1), "sx"[i % 2], *[f"{n}{i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, schema)
+    mixed = mixing.mix_sources(docs)
+    assert mixed.columns == [*docs.columns, "size", "source_size", "target", "copies"]
+    assert sorted(tuple(r)[: len(docs.columns)] for r in mixed.collect()) == rows
+    emitted = mixing.emit_copies(mixed)
+    assert {tuple(r[n] for n in names if n != "copy") for r in emitted.collect()} <= {tuple(f"{n}{i}" for n in names if n != "copy") for i in range(6)}
+    assert sorted(map(tuple, simhash.keep_first(docs).collect())) == rows
