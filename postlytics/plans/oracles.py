@@ -239,3 +239,19 @@ QUALIFY rank <= {TOP}""",
 SELECT form, cid, idx, round(value, 9) AS value
 FROM centers1 CROSS JOIN (SELECT unnest(['table', 'blocks', 'lines']) AS form) WHERE value <> 0""",
 }
+
+# A job over files gives what its operator gives over the table that the files were written from, but that broken lines do not count.
+_GOOD = "(SELECT * FROM events WHERE event_id % 97 <> 0)"
+
+JOB_ORACLES: dict[str, str] = {
+    "job_unique_posts": f"SELECT count(DISTINCT event_id) AS unique_posts FROM {_GOOD}",
+    "job_malformed_posts": ORACLES["malformed_posts"],
+    "job_user_histogram": f"SELECT n, count(*) AS keys FROM (SELECT user_id, count(*) AS n FROM {_GOOD} GROUP BY user_id) GROUP BY n",
+    "job_unique_words": ORACLES["vocabulary_size"],
+    "job_word_histogram": ORACLES["word_frequency_histogram"],
+    "job_informative_words": ORACLES["informative_words"],
+    "job_cluster_users": ORACLES["kmeans_fit"],
+    "job_predict_users": ORACLES["cluster_members"],
+    "job_analyze_tokens": ORACLES["cluster_top_tokens"],
+    "job_analyze_users": ORACLES["cluster_top_users"],
+}
