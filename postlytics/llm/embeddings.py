@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlytics.llm.components import connected_components
-from postlytics.sources.staging import cut_lineage
+from postlytics.sources.staging import cut_lineage, free
 
 COSINE = 0.95
 #: Nodes for each centre, before overlap; centres at most; vectors they are fitted on at most.
@@ -32,7 +32,9 @@ LARGEST = 4096
 DEGREE = 24
 ALPHA = 1.2
 BEAM = 32
-AUDITED = 200
+#: Vectors compared with all rows after each search; shards of a node at most.
+AUDITED = 1000
+MOST_OVERLAP = 12
 RECALL = 0.9
 
 
@@ -174,9 +176,10 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVER
     equal vectors and repeated rows link with each other. An
     empty table gives an empty result, and further columns are not read.
 
-    No pair below ``cosine`` is linked; pairs above can be missed. A sample of
-    vectors is compared with all rows, and while fewer than nine in ten of its links are found,
-    nodes go to twice as many shards.
+    No pair below ``cosine`` is linked; pairs above can be missed. After every
+    search a sample of vectors is compared with all rows, and while fewer than nine in ten
+    links of an average vector are found, nodes go to twice as many shards, up
+    to ``MOST_OVERLAP``; a search that is not good enough even so is an error.
     """
     good = "embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, v -> coalesce(abs(v) < double('Infinity'), false)) AND exists(embedding, v -> v <> 0)"
     rows = vectors.select("vec_id", "embedding")
@@ -184,8 +187,11 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVER
     same = cut_lineage(same.filter("id IS NOT NULL").select("id", "n", F.col("embedding").cast("array<double>").alias("x"), "embedding"), "vectors")
     width, count = same.agg(F.coalesce(F.max(F.size("x")), F.lit(1)), F.count("*")).first()
     found = _search(same, width, count, cosine, overlap)
-    while overlap < 4 * OVERLAP and audit_recall(same, found, width, cosine) < RECALL:
-        overlap *= 2
+    while (recall := audit_recall(same, found, width, cosine)) < RECALL:
+        if overlap >= MOST_OVERLAP:
+            raise RuntimeError(f"a search in {overlap} shards of each node found {recall:.3f} of the audited links; raise SHARD or MOST_OVERLAP")
+        free(found)
+        overlap = min(2 * overlap, MOST_OVERLAP)
         found = _search(same, width, count, cosine, overlap)
     named = rows.join(same.select("embedding", "id").join(found, "id"), "embedding", "left")
     own = F.coalesce("component", "vec_id")
@@ -324,7 +330,11 @@ def _search(same: DataFrame, width: int, count: int, cosine: float, overlap: int
 
 
 def audit_recall(same: DataFrame, found: DataFrame, width: int, cosine: float = COSINE, audited: int = AUDITED) -> float:
-    """Share of the links of ``audited`` vectors, those of the smallest hashes, that ``found`` counts; 1 if they have none."""
+    """Share of a vector's links that ``found`` counts, averaged over those with links among ``audited`` vectors, those of the smallest hashes.
+
+    Each vector weighs the same, so that the links of a crowd cannot hide those
+    that small groups lost; 1 if no audited vector has links.
+    """
     asked = same.select("id", "n", "x").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(audited).toPandas()
     if not len(asked):
         return 1.0
@@ -341,4 +351,5 @@ def audit_recall(same: DataFrame, found: DataFrame, width: int, cosine: float =
     true = true.set_index("at")["n"].reindex(range(len(asked))).to_numpy() - 1
     told = found.join(F.broadcast(same.sparkSession.createDataFrame(asked[["id"]])), "id").toPandas().set_index("id")["links"]
     told = told.reindex(asked["id"]).fillna(0).to_numpy()
-    return float(np.minimum(told, true).sum() / true.sum()) if true.sum() else 1.0
+    linked = true > 0
+    return float((np.minimum(told, true)[linked] / true[linked]).mean()) if linked.any() else 1.0

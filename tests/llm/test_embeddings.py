@@ -61,3 +61,26 @@ def test_empty_table_and_repeated_rows(spark):
     assert found == sorted(
         ["Row(vec_id=3, n_links=2, component_id=3)"] * 2 + ["Row(vec_id=None, n_links=2, component_id=3)", "Row(vec_id=4, n_links=0, component_id=4)"]
     )
+
+
+def test_a_crowd_does_not_hide_lost_pairs(spark):
+    """A crowd of 200 with all its links beside 100 pairs that were all lost."""
+    rng = np.random.default_rng(5)
+    crowd = rng.normal(size=16) + rng.normal(size=(200, 16)) * 1e-3
+    middles = rng.normal(size=(100, 16))
+    x = np.concatenate([crowd, middles, middles + 1e-3])
+    same = spark.createDataFrame([(i, 1, v) for i, v in enumerate(x.tolist())], "id long, n long, x array<double>")
+    links = {True: [199] * 200 + [1] * 200, False: [199] * 200 + [0] * 200}
+    for whole, counts in links.items():
+        found = spark.createDataFrame(list(enumerate(counts)), "id long, links long")
+        assert embeddings.audit_recall(same, found, 16) == (1.0 if whole else 0.5)
+
+
+def test_every_search_is_audited(spark, monkeypatch):
+    """The last one too; what it misses is an error and no result."""
+    audits = []
+    monkeypatch.setattr(embeddings, "audit_recall", lambda *a: audits.append(a) or 0.89)
+    df = spark.createDataFrame([(i, v, 1, 1, "x") for i, v in vectors(6)[:40]], SCHEMA)
+    with pytest.raises(RuntimeError, match="12 shards"):
+        embeddings.link_vectors(df)
+    assert len(audits) == 3
