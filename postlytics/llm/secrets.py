@@ -24,6 +24,8 @@ CLASSES_PER_OCTAVE = 16
 LEAST_COST = 8.0
 LONGEST_WORD = 24
 _PER_PART = math.log10(2)
+#: Powers of ten for a step of a walk, a turn of it, saying a block twice, saying it once more, and a word's spelling.
+_PER_STEP, _TURN, _TWICE, _PER_REPEAT, _SPELLING = 0.1, 0.6, 0.3, 0.02, 0.7
 
 # Fixed patterns.
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -32,11 +34,16 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _HINTS = ("pass", "secret", "token", "key", "pwd", "auth", "bearer", "credential", "login")
 #: Where credentials stand: a name, a separator, a value; or a scheme and a value.
 _CONTEXT = re.compile(
-    r"""(?i:(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_\x20-]?key)?|token|(?:api|access|private|auth)[_\x20-]?key|auth(?:orization)?|credentials?|login)"""
-    r"""["']?\x20*(?::=|=>|[:=]|\x20is\x20)\x20*(?:(?:bearer|basic)\x20+)?|\b(?:bearer|basic)\x20+)["']?([!-~]{6,})""",
-    re.ASCII,
+    r"""(?a:(?i:(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_\x20-]?key)?|token|(?:api|access|private|auth)[_\x20-]?key|auth(?:orization)?|credentials?|login)"""
+    r"""["']?\x20*(?::=|=>|[:=]|\x20is\x20)\x20*(?:(?:bearer|basic)\x20+)?|\b(?:bearer|basic)\x20+)["']?)([!-~\xa1-\xac\xae-\u167f\u1681-\u1fff]{6,})"""
+)
+_YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+#: Dates wherever they begin, and what they cost.
+_DATES = (
+    (re.compile(rf"(?=({_YEAR}))", re.ASCII), 2.1),
+    (re.compile(rf"(?=({_YEAR}([-/._]?){_MONTH}\2{_DAY}))", re.ASCII), 4.6),
+    (re.compile(rf"(?=({_DAY}([-/._]?){_MONTH}\2{_YEAR}))", re.ASCII), 4.6),
 )
-_DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
 #: Rows of the usual keyboard; a walk goes to a neighbour in its row or to a key above or below.
 _ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (r, at) for r, row in enumerate(_ROWS) for at, c in enumerate(row)}
@@ -44,29 +51,14 @@ _LEET = str.maketrans("013457@$!", "oieastasi")
 
 
 def _brute(c: str) -> float:
-    return 1.0 if c.isdigit() else math.log10(26) if c.islower() or c.isupper() else math.log10(33)
-
-
-def _walks(value: str) -> Iterator[tuple[int, int, float]]:
-    """Maximal runs of equal characters, of steps in the alphabet or the digits, and of neighbouring keys."""
-    low = value.lower()
-    for near, base in (
-        (lambda a, b: a == b, 2.0),
-        (lambda a, b: a.isalnum() and b.isalnum() and ord(b) - ord(a) == 1, 1.5),
-        (lambda a, b: a.isalnum() and b.isalnum() and ord(a) - ord(b) == 1, 1.5),
-        (_neighbours, 2.2),
-    ):
-        start = 0
-        for at in range(1, len(low) + 1):
-            if at < len(low) and near(low[at - 1], low[at]):
-                continue
-            if at - start >= 3:
-                # Turns of a walk over the keyboard are choices; a straight run has none.
-                turns = sum(
-                    _step(low[i - 1], low[i]) != _step(low[i], low[i + 1]) for i in range(start + 1, at - 1)
-                ) if near is _neighbours else 0
-                yield start, at, base + math.log10(at - start) + 0.6 * turns
-            start = at
+    if c.isascii():
+        return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33)
+    return 2.0
+
+
+def _lower(value: str) -> str:
+    """Lower case, character by character, so that places stay."""
+    return "".join(low if len(low := c.lower()) == 1 else c for c in value)
 
 
 def _step(a: str, b: str) -> tuple[int, int]:
@@ -80,67 +72,95 @@ def _neighbours(a: str, b: str) -> bool:
     return abs(row) <= 1 and abs(at) <= 1
 
 
-def _repeats(value: str) -> Iterator[tuple[int, int, int]]:
-    """(start, end, size of the block) where a block of 2 to 8 characters is said again at once."""
-    for size in range(2, 9):
-        start = 0
-        while start + 2 * size <= len(value):
-            end = start + size
-            while end < len(value) and value[end] == value[end - size]:
-                end += 1
-            whole = start + (end - start) // size * size
-            if whole - start >= 2 * size:
-                yield start, whole, size
-                start = whole - size + 1
-            else:
-                start = max(start + 1, end - size + 1)
+def _follows(a: str, b: str) -> bool:
+    return a.isalnum() and b.isalnum() and ord(b) - ord(a) == 1
+
+
+#: Kinds of walks: what two characters in a row have to be, and what choosing the kind and the start costs.
+_WALKS = (
+    (lambda a, b: a == b, 2.0),
+    (_follows, 1.5),
+    (lambda a, b: _follows(b, a), 1.5),
+    (_neighbours, 2.2),
+)
+
+
+def _turns(near, a: str, b: str, c: str) -> int:
+    """Turns of a walk over the keyboard are choices; a straight run has none."""
+    return int(near is _neighbours and _step(a, b) != _step(b, c))
+
+
+def _dates(value: str) -> Iterator[tuple[int, int, float]]:
+    """(start, end, cost) of all years and days, those within others too."""
+    for form, cost in _DATES:
+        for m in form.finditer(value):
+            yield m.start(1), m.end(1), cost
 
 
 @dataclass
 class GuessCost:
-    """Least guesses, as a power of ten, over all ways to put a value together; ``rank`` of the known words."""
+    """Least guesses, as a power of ten, over all ways to put a value together; ``rank`` of the known words.
+
+    A value is cut into parts in any way; each part but the first costs a
+    factor of two. Parts are known words of 2 to 24 characters, dates, walks of three characters or
+    more (equal, in alphabetic order either way, or neighbouring keys), a block of 2 to 8
+    characters said at least twice, and single characters tried out, which form
+    one part while they stand side by side. The length of a walk and the number of
+    repetitions cost a fixed factor a step, so that the least cost is found exactly in time
+    linear in the value, however long: a part that can grow is a state, not a list of its pieces.
+    """
 
     rank: dict[str, int]
 
     def cost(self, value: str) -> float:
-        return self._cost(value, True)
+        return self._cost(value, {})
+
+    def word(self, value: str, low: str, plain: str) -> float:
+        """Cost of a known word, as it is or with digits and signs for letters."""
+        least = min(math.log10(self.rank[low] + 1) if low in self.rank else math.inf, math.log10(self.rank[plain] + 1) + _SPELLING if plain in self.rank else math.inf)
+        return least + (_PER_PART if any(c.isupper() for c in value) else 0.0)
 
-    def _cost(self, value: str, repeats: bool) -> float:
+    def _cost(self, value: str, blocks: dict[str, float] | None) -> float:
+        """``blocks`` are the costs of repeated blocks found so far; None looks for no repetitions."""
         n = len(value)
-        parts: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for start, end, cost in _walks(value):
-            # Any piece of a walk is a walk, but the whole or its ends are what helps.
-            parts[end].append((start, cost))
-        for m in _DATE.finditer(value):
-            parts[m.end()].append((m.start(), 4.6 if m.end() - m.start() > 4 else 2.1))
-        if repeats:
-            for start, end, size in _repeats(value):
-                block = self._cost(value[start : start + size], False)
-                parts[end].append((start, block + math.log10((end - start) // size)))
-        low = value.lower()
+        low = _lower(value)
         plain = low.translate(_LEET)
-        best = [0.0] * (n + 1)
-        brute = [False] * (n + 1)
+        ends: dict[int, list[tuple[int, float]]] = {}
+        for start, end, cost in _dates(value):
+            ends.setdefault(end, []).append((start, cost))
+        best = [0.0] + [math.inf] * n
+        tried = math.inf  # least cost up to here if the last part is tried out
+        walks = [math.inf] * len(_WALKS)  # the same if it is a walk of each kind
+        again = {size: [math.inf] * (n + 1) for size in range(2, 9)}
         for end in range(1, n + 1):
-            # More brute force joins the span before it, anything else begins a new part.
-            least = best[end - 1] + _brute(value[end - 1]) + (0.0 if brute[end - 1] or end == 1 else _PER_PART)
-            forced = True
+            c = value[end - 1]
+            tried = min(tried, best[end - 1] + (_PER_PART if end > 1 else 0.0)) + _brute(c)
+            least = tried
+            for at, (near, base) in enumerate(_WALKS):
+                if end < 3 or not near(low[end - 2], low[end - 1]) or not near(low[end - 3], low[end - 2]):
+                    walks[at] = math.inf
+                    continue
+                turn = _TURN * _turns(near, *low[end - 3 : end])
+                begun = best[end - 3] + (_PER_PART if end > 3 else 0.0) + base + 3 * _PER_STEP
+                walks[at] = min(begun, walks[at] + _PER_STEP) + turn
+                least = min(least, walks[at])
             for start in range(max(0, end - LONGEST_WORD), end - 1):
-                found = self.rank.get(low[start:end])
-                extra = 0.0
-                if found is None and plain != low:
-                    found, extra = self.rank.get(plain[start:end]), 0.7
-                if found is not None:
-                    word = value[start:end]
-                    extra += 0.0 if word.islower() or not any(c.isalpha() for c in word) else _PER_PART
-                    cost = best[start] + math.log10(found + 1) + extra + (_PER_PART if start else 0.0)
-                    if cost < least:
-                        least, forced = cost, False
-            for start, part in parts[end]:
-                cost = best[start] + part + (_PER_PART if start else 0.0)
-                if cost < least:
-                    least, forced = cost, False
-            best[end], brute[end] = least, forced
+                if low[start:end] in self.rank or plain[start:end] in self.rank:
+                    known = self.word(value[start:end], low[start:end], plain[start:end])
+                    least = min(least, best[start] + known + (_PER_PART if start else 0.0))
+            for start, cost in ends.get(end, ()):
+                least = min(least, best[start] + cost + (_PER_PART if start else 0.0))
+            if blocks is not None:
+                for size in range(2, min(8, end // 2) + 1):
+                    block, start = value[end - size : end], end - 2 * size
+                    if value[start : end - size] != block:
+                        continue
+                    if block not in blocks:
+                        blocks[block] = self._cost(block, None)
+                    begun = best[start] + (_PER_PART if start else 0.0) + blocks[block] + _TWICE
+                    again[size][end] = min(begun, again[size][end - size] + _PER_REPEAT)
+                    least = min(least, again[size][end])
+            best[end] = least
         return best[n]
 
     def spans(self, text: str | None) -> tuple[list[Span], list[Span]]:
@@ -151,8 +171,7 @@ class GuessCost:
         added = []
         for m in _CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:!?)]}>\"'")
-            # Prose has letters alone there, a secret hardly ever.
-            if len(value) >= 6 and not value.isalpha() and self.cost(value) >= LEAST_COST:
+            if len(value) >= 6 and self.cost(value) >= LEAST_COST:
                 added.append(Span("guess", m.start(1), m.start(1) + len(value)))
         return base, added
 
@@ -199,7 +218,8 @@ def find_secrets(docs: DataFrame, model: GuessCost) -> DataFrame:
     """(doc_id, n_ per base kind, base, spans) for each row of ``docs`` (doc_id, text).
 
     ``spans`` are the base spans and those of kind ``guess``: values behind a
-    credential's name that take 10^8 guesses or more. Offsets are code
+    credential's name that take 10^8 guesses or more; a value ends at a blank or at a
+    script that is written without blanks. Offsets are code
     points, ends exclusive. NULL and empty texts have no spans; texts are read
     whole; repeated rows get equal answers, an empty table none; further columns
     are not read.

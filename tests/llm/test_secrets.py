@@ -1,3 +1,5 @@
+import functools
+import math
 import random
 import re
 
@@ -38,6 +40,84 @@ def test_guess_costs(model):
     assert model.cost("") == 0 and model.cost("dragonmonkey") < model.cost("dragonmonkez")
 
 
+ROWS = ["1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./"]
+SPOTS = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
+TWO = math.log10(2)
+
+
+def part_costs(model, part):
+    """Costs of one part under each reading, written from the definitions alone."""
+    yield sum(1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33) for c in part)
+    low = part.lower()
+    capital = TWO if part != low else 0.0
+    if len(part) >= 2:
+        for spelling, extra in ((low, 0.0), (low.translate(str.maketrans("013457@$!", "oieastasi")), 0.7)):
+            if spelling in model.rank:
+                yield math.log10(model.rank[spelling] + 1) + extra + capital
+    if re.fullmatch(r"(19|20)[0-9]{2}", part):
+        yield 2.1
+    for form in (r"(?P<y>(19|20)[0-9]{2})(?P<s>[-/._]?)(?P<m>[0-9]{2})(?P=s)(?P<d>[0-9]{2})", r"(?P<d>[0-9]{2})(?P<s>[-/._]?)(?P<m>[0-9]{2})(?P=s)(?P<y>(19|20)[0-9]{2})"):
+        m = re.fullmatch(form, part)
+        if m and 1 <= int(m["m"]) <= 12 and 1 <= int(m["d"]) <= 31:
+            yield 4.6
+    if len(part) >= 3:
+        pairs = list(zip(low, low[1:]))
+        length = 0.1 * len(part)
+        if all(a == b for a, b in pairs):
+            yield 2.0 + length
+        for way in (1, -1):
+            if all(a.isalnum() and b.isalnum() and ord(b) - ord(a) == way for a, b in pairs):
+                yield 1.5 + length
+        if all(a in SPOTS and b in SPOTS and a != b for a, b in pairs):
+            steps = [(SPOTS[b][0] - SPOTS[a][0], SPOTS[b][1] - SPOTS[a][1]) for a, b in pairs]
+            if all(max(map(abs, step)) == 1 for step in steps):
+                yield 2.2 + length + 0.6 * sum(x != y for x, y in zip(steps, steps[1:]))
+
+
+def all_segmentations(model, value):
+    @functools.cache
+    def least(rest, repeats):
+        """Least cost of all ways to cut ``rest``: (last part tried out, other last part)."""
+        tried, other = (0.0, math.inf) if not rest else (math.inf, math.inf)
+        for cut in range(len(rest)):
+            head, part = rest[:cut], rest[cut:]
+            before = min(least(head, repeats)) + (TWO if head else 0.0)
+            brute, *known = part_costs(model, part)
+            tried = min(tried, before + brute)
+            for size in range(2, 9) if repeats else ():
+                times, left = divmod(len(part), size)
+                if times >= 2 and not left and part == part[:size] * times:
+                    known.append(min(least(part[:size], False)) + 0.3 + 0.02 * (times - 2))
+            other = min([other, *(before + k for k in known)])
+        return tried, other
+
+    return min(least(value, True))
+
+
+def test_least_of_all_segmentations(model):
+    rng = random.Random(4)
+    parts = ["asdf", "ghj", "qwe", "aaa", "abc", "cba", "321", "river", "r1ver", "Monkey", "the", "2024", "20240131", "31.01.2024", "9", "x", "-", "Z", "abab", "and"]
+    for _ in range(400):
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))[:14]
+        assert model.cost(value) == pytest.approx(all_segmentations(model, value)), value
+
+
+def test_pieces_of_walks_letters_and_other_scripts(model):
+    love = secrets.GuessCost({"love": 1, "horse": 5, "correct": 9})
+    assert love.cost("asdfghjklove") < 4
+    # Ties of equal cost stay one value; letters alone and letters beyond ASCII are judged whole.
+    text = "passwd: xqzjvkwyphg token=übÄrqzxß9 login: dragonmonkey secret: русскоеXслово9"
+    _, added = model.spans(text)
+    assert [text[s.start : s.end] for s in added] == ["xqzjvkwyphg", "übÄrqzxß9", "русскоеXслово9"]
+    assert model.cost("İİİ") > 0
+
+
+def test_very_long_values(model):
+    for value in ("a" * 200_000, "zX9$kf!2" * 20_000, "qwerty" * 20_000):
+        _, added = model.spans(f"token={value}")
+        assert added == [("guess", 6, 6 + len(value))]
+
+
 def test_values_where_credentials_stand(model):
     text = "pwd: zX9$kf!22q. Authorization: Bearer eyJhbGciOi.J9x, login: sunshine1 and the token of the riverbeds, password=d7a249b380ac9149ec"
     base, added = model.spans(text)
