@@ -2,10 +2,11 @@
 
 The field's nodes are the spans of a text that look like personal data: those of
 the base patterns, with their labels given, and other runs of digits or mail-like
-tokens, with labels to infer. A node's potential is a trained linear model of
-its shape and context; neighbours share a trained transition potential;
+tokens, with labels to infer. A node's potential is a linear model of
+its shape and context; neighbours share a transition potential;
 nodes with the same or similar characters, however far apart, share a skip
-potential. Loopy message passing makes the labels of a text consistent.
+potential. All are trained by pseudo-likelihood, and loopy message passing makes the
+labels of a text consistent.
 """
 
 from __future__ import annotations
@@ -19,30 +20,31 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlytics.llm.spans import Span, joined
 from postlytics.llm.words import per_text
+from postlytics.sources.staging import cut_lineage
 
 KINDS = ["email", "ip", "card", "phone"]
 OTHER = len(KINDS)
+#: Texts and nodes to learn from, chosen by hash.
 SAMPLE_DOCS = 20_000
+SAMPLE_NODES = 50_000
 #: An inferred node is reported from this marginal on.
 CERTAIN = 0.75
-ROUNDS = 12
+ROUNDS = 60
 #: Neighbours are at most so many characters apart.
 NEAR = 120
-#: Similar nodes agree at least e to this as often as not.
-MIN_SKIP = 3.0
-TEMPER = 0.35
-SMOOTHING = 5.0
-_FEATURES = 1 << 10
+#: Steps of training, their size, and the weight of small weights.
+STEPS, RATE, RIDGE = 250, 0.1, 0.1
+_FEATURES = 1 << 14
 
 # Fixed patterns. They match what the plain forms do, leftmost first, in time linear in the text:
 # a number or name is only tried from its first character, as its later ones fail or succeed alike.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -109,7 +111,7 @@ class Node:
     end: int
     label: int | None
     features: list[int]
-    key: str
+    keys: list[str]
 
 
 def _feature(name: str) -> int:
@@ -143,69 +145,90 @@ def nodes_of(text: str, base: list[Span]) -> list[Node]:
 
     spans += [(*m.span(), None) for m in _DIGITS.finditer(text) if free(*m.span())]
     if "@" in text or "at" in text:
+        done = 0
         for m in _MAIL.finditer(text):
-            name = _LOCAL.search(text[max(0, m.start() - 64) : m.start()])
-            start = m.start() - len(name[0]) if name else -1
-            if name and free(start, m.end()):
-                spans.append((start, m.end(), None))
-    out = []
-    for start, end, label in sorted(spans, key=lambda s: (s[0], s[1])):
-        body = text[start:end]
-        digits = _digits(body)
-        before = text[max(0, start - 24) : start].split()
-        names = [
-            "bias",
-            f"shape {_shape(body)}",
-            f"digits {min(len(digits), 20)}",
-            f"mail {'@' in body} {body.count('.') if '@' in body else ''}",
-            f"luhn {len(digits) > 12 and luhn(digits)}",
-            f"before {before[-1].lower()[-12:] if before else ''}",
-            f"sign {text[start - 1 : start]}",
-        ]
-        key = digits if len(digits) >= 7 and "@" not in body else re.sub(r"[^a-z0-9]|\bat\b|\bdot\b", "", body.lower())
-        out.append(Node(start, end, label, [_feature(x) for x in names], key))
-    return out
-
-
-def similar(node: Node) -> str:
-    """What nodes that are the same or similar have in common."""
-    return node.key[-7:] if node.key.isdigit() else node.key
-
-
-def edges_of(nodes: list[Node]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Neighbours, and for each node the nearest one before it with the same or similar characters.
-
-    Numbers are similar if their last seven digits agree, mail addresses if their letters and digits do.
+            start = m.start()
+            while start > done and text[start - 1] in _LOCAL_CHARS:
+                start -= 1
+            done = m.end()
+            if start < m.start() and free(start, done):
+                spans.append((start, done, None))
+    return [node_of(start, text[start:end], label, text[max(0, start - 24) : start]) for start, end, label in sorted(spans, key=lambda s: (s[0], s[1]))]
+
+
+def node_of(start: int, body: str, label: int | None, before: str) -> Node:
+    """A node that reads ``body`` behind the characters ``before``."""
+    digits = _digits(body)
+    mail = bool(_MAIL.search(body))
+    word = before.split()
+    names = ["bias", f"sign {before[-1:]}", f"before {word[-1].lower()[-12:] if word else ''}"]
+    if mail:
+        sign = next(x for x in ("@", "(at)", "[at]", " at ") if x in body)
+        dot = next((x for x in ("(dot)", "[dot]", " dot ") if x in body), ".")
+        names += ["mail", f"mail {sign}", f"mail {sign} {dot}"]
+    else:
+        groups = re.findall("[0-9]+", body)
+        names += [f"shape {_shape(body)}", f"digits {min(len(digits), 20)}", f"groups {[len(g) for g in groups][:8]}"]
+        names += [f"parts {min(len(groups), 5)}", f"luhn {len(digits) > 12 and luhn(digits)}"]
+    keys = _mail_keys(body) if mail else _number_keys(digits)
+    return Node(start, start + len(body), label, [_feature(x) for x in names], keys)
+
+
+def _mail_keys(body: str) -> list[str]:
+    """All letters and digits of an address, and those of its name and of its domain."""
+    name, _, domain = re.sub(r"\(at\)|\[at\]|\x20at\x20", "@", body.lower()).rpartition("@")
+    domain = re.sub(r"\(dot\)|\[dot\]|\x20dot\x20", "", domain)
+    name, domain = (re.sub(r"[^a-z0-9]", "", x) for x in (name, domain))
+    return [f"{name}@{domain}", f"{name}@", f"@{domain}"]
+
+
+def _number_keys(digits: str) -> list[str]:
+    """The last seven digits, and these with any one of them left open."""
+    last = digits[-7:]
+    return [last, *(f"{last[:i]}*{last[i + 1 :]}" for i in range(len(last)))]
+
+
+Edges = list[tuple[int, int]]
+
+
+def edges_of(nodes: list[Node]) -> tuple[Edges, Edges, Edges]:
+    """Neighbours; and each node with the nearest one before it with the same, and with each part of similar, characters.
+
+    Numbers are the same if their last seven digits agree, and similar if six of these do; addresses are
+    the same if their letters and digits agree, and similar if those of their names or domains do.
     """
     chain = [(i - 1, i) for i in range(1, len(nodes)) if nodes[i].start - nodes[i - 1].end <= NEAR]
     last: dict[str, int] = {}
-    skip = []
+    same, alike = [], []
     for i, node in enumerate(nodes):
-        key = similar(node)
-        if key in last:
-            skip.append((last[key], i))
-        last[key] = i
-    return chain, skip
+        found = {last[key] for key in node.keys if key in last}
+        twin = last.get(node.keys[0])
+        if twin is not None:
+            same.append((twin, i))
+        alike += [(j, i) for j in sorted(found) if nodes[j].keys[0] != node.keys[0]]
+        last.update((key, i) for key in node.keys)
+    return chain, same, alike
 
 
 @dataclass
 class EntityField:
-    """Log potentials: features by label, label by label for neighbours, agreement of similar nodes."""
+    """Log potentials: features by label, label by label for neighbours, agreement of same and of similar nodes."""
 
     unary: np.ndarray
     chain: np.ndarray
-    skip: float
+    same: float
+    alike: float
 
     def marginals(self, nodes: list[Node]) -> np.ndarray:
-        """Label marginals after loopy message passing; given labels are certain."""
+        """Label marginals after loopy message passing, exact where the edges have no loop; given labels are certain."""
         k = OTHER + 1
         local = np.array([self.unary[n.features].sum(axis=0) for n in nodes])
         given = [i for i, n in enumerate(nodes) if n.label is not None]
         local[given] = -60.0
         local[given, [nodes[i].label for i in given]] = 0.0
-        chain, skip = edges_of(nodes)
-        # A given node tells its neighbours what it is and learns nothing.
-        pairs = [(a, b, self.chain) for a, b in chain] + [(a, b, np.eye(k) * self.skip) for a, b in skip]
+        chain, same, alike = edges_of(nodes)
+        pairs = [(a, b, self.chain) for a, b in chain]
+        pairs += [(a, b, np.eye(k) * self.same) for a, b in same] + [(a, b, np.eye(k) * self.alike) for a, b in alike]
         if not pairs:
             return _softmax(local)
         source = np.array([x for a, b, _ in pairs for x in (a, b)])
@@ -221,7 +244,7 @@ class EntityField:
             new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
             new -= new.max(axis=1, keepdims=True)
             message, moved = 0.5 * (message + new), np.abs(new - message).max()
-            if moved < 1e-4:
+            if moved < 1e-6:
                 break
         belief = local.copy()
         np.add.at(belief, target, message)
@@ -235,13 +258,9 @@ class EntityField:
         nodes = nodes_of(text, base)
         if all(n.label is not None for n in nodes):
             return base, []
-        # Looking like a number is not enough: something in the text has to say what it is.
-        told = {similar(n) for n in nodes if n.label is not None}
-        if not any(n.label is None and similar(n) in told for n in nodes):
-            return base, []
         p = self.marginals(nodes)
         best = p[:, :OTHER].argmax(axis=1)
-        sure = [i for i, n in enumerate(nodes) if n.label is None and similar(n) in told and p[i, best[i]] >= CERTAIN]
+        sure = [i for i, n in enumerate(nodes) if n.label is None and p[i, best[i]] >= CERTAIN]
         return base, [Span(KINDS[best[i]], nodes[i].start, nodes[i].end) for i in sure]
 
 
@@ -250,44 +269,155 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_field(docs: DataFrame, sample: int = SAMPLE_DOCS) -> EntityField:
-    """Learn the potentials from ``docs`` (text): base spans are what they are, other look-alikes are nothing.
+def rewritten(kind: int, body: str) -> list[str]:
+    """Other ways to write what a base pattern found, that no base pattern finds; none for kinds without such ways."""
+    if KINDS[kind] == "email":
+        name, _, domain = body.rpartition("@")
+        return [f"{name} at {domain.replace('.', ' dot ')}", f"{name}(at){domain.replace('.', '(dot)')}", f"{name}[at]{domain.replace('.', '[dot]')}", f"{name}(at){domain}"]
+    if KINDS[kind] == "phone":
+        # The number without its country's code, with the signs it has and with others.
+        local = re.sub(r"^\+[0-9]{1,3}[\x20.-]*(?=[(0-9])", "", body)
+        groups = re.findall("[0-9]+", local)
+        if len(groups) < 2:
+            return []
+        return [local, *(sign.join(groups) for sign in "-. "), f"({groups[0]}) {'-'.join(groups[1:])}"]
+    if KINDS[kind] == "card":
+        digits = _digits(body)
+        fours = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return [".".join(fours), " - ".join(fours)]
+    return []
+
+
+def plainly_other(body: str) -> bool:
+    """True of what cannot be personal data as it stands: dates, decimals, runs of digits, lengths that no kind has, a word at a site."""
+    if _MAIL.search(body):
+        return " at " in body and " dot " not in body and "(dot)" not in body and "[dot]" not in body
+    digits = _digits(body)
+    if body.isdigit() or re.fullmatch(r"[0-9]+\.[0-9]+", body) or re.fullmatch(r"(?:19|20)[0-9]{2}([./-])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\2(?:19|20)[0-9]{2}", body):
+        return True
+    return not 7 <= len(digits) <= 19 or len(digits) == 8 or (len(digits) > 15 and not luhn(digits))
+
 
-    About ``sample`` texts are learnt from, chosen by a hash; the driver gets
-    counts of features, label pairs and agreements, a number fixed by the model.
+def _drawn(*of: object) -> int:
+    """A fixed number for what is to be drawn."""
+    return xxhash.xxh64_intdigest(repr(of).encode())
+
+
+def lesson_of(text: str) -> list[tuple[Node, int | None]]:
+    """Nodes of a text with what to learn about each; None for what stands as given.
+
+    Some base spans are said again, or said instead, in other ways, some
+    with a digit changed; each is learnt to be of its kind. Look-alikes that
+    are plainly other are learnt as such, and so are numbers made of a span's
+    digits in the ways of dates, decimals, thousands, ranges and running numbers. Other
+    look-alikes are what the field is to decide, and are left out.
+    """
+    out: list[tuple[Node, int | None]] = []
+    for node in nodes_of(text, base_spans(text)):
+        body, before = text[node.start : node.end], text[max(0, node.start - 24) : node.start]
+        if node.label is None:
+            if plainly_other(body):
+                out.append((node, OTHER))
+            continue
+        draw = _drawn(body, before, node.start)
+        ways = rewritten(node.label, body)
+        if not ways or draw % 4 == 0:
+            out.append((node, None))
+        else:
+            # Digits alone say what they are only beside the same number written in full.
+            ways += [_digits(ways[0])] if draw % 4 > 1 and KINDS[node.label] == "phone" else []
+            said = ways[draw // 4 % len(ways)]
+            if draw % 4 > 1:
+                out.append((node, None))
+            if draw % 4 == 3 and said[-1].isdigit():
+                said = said[:-1] + str((int(said[-1]) + 1 + draw // 64 % 9) % 10)
+            out.append((node_of(node.start, said, None, before), node.label))
+        out += [(node_of(node.end + NEAR + 1, said, None, ""), OTHER) for said in _numbers(draw)[: 1 + draw // 8 % 2]]
+    return out
+
+
+def _numbers(draw: int) -> list[str]:
+    """Numbers that say nothing of a person, in an order drawn."""
+    d = str(draw % 10**18).rjust(18, "1")
+    thousands = [d[0], d[1:4], d[4:7], d[7:10]][: 3 + draw % 2]
+    day = f"{d[:2]}.{d[2:4]}.20{d[4:6]}"
+    ways = [d[:7], d[:8], d[:10], d[:12], d[:13], " ".join(thousands), ".".join(thousands), f"{d[0]}.{d[1:9]}"]
+    ways += [f"20{d[:2]}-{d[2]}{d[3]}-{d[4:6]}", day, f"{day} - {day}", f"{d[:4]}-{d[4:8]}", f"{d[:6]}-{d[6:8]}"]
+    ways += [f"{d[:2]}.{d[2:5]}.{d[5]}.{d[6]}", f"97{d[0]}-{d[1]}-{d[2:4]}-{d[4:10]}-{d[10]}", f"a at {d[:3]}.com"]
+    turn = draw // 4096 % len(ways)
+    return ways[turn:] + ways[:turn]
+
+
+def fit_field(docs: DataFrame, sample: int = SAMPLE_DOCS, nodes: int = SAMPLE_NODES) -> EntityField:
+    """Train all potentials by pseudo-likelihood on the lessons of ``docs`` (text).
+
+    About ``sample`` texts are learnt from, chosen by a hash, and about ``nodes`` different
+    nodes of them; so many the driver gets, with their times. An empty table teaches nothing:
+    its field adds no span.
     """
     texts = docs.filter("text IS NOT NULL").select("text")
     share = min(1.0, sample / max(1, texts.count()))
-    chosen = F.shiftrightunsigned(F.xxhash64("text"), 1) < F.lit(min(int(share * 2**63), 2**63 - 1))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def teach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen: Counter = Counter()
             for text in batch["text"]:
-                nodes = nodes_of(text, base_spans(text))
-                labels = [OTHER if n.label is None else n.label for n in nodes]
-                seen.update(("unary", f, y) for n, y in zip(nodes, labels, strict=True) for f in n.features)
-                chain, skip = edges_of(nodes)
-                seen.update(("chain", labels[a], labels[b]) for a, b in chain)
-                seen.update(("skip", 0, int(labels[a] == labels[b])) for a, b in skip)
-            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["part", "a", "b", "n"])
-
-    counted = texts.filter(chosen).mapInPandas(count, "part string, a int, b int, n long")
-    rows = counted.groupBy("part", "a", "b").agg(F.sum("n").alias("n")).collect()
-    unary, chain, agree = np.zeros((_FEATURES, OTHER + 1)), np.full((OTHER + 1, OTHER + 1), 2.0), [1.0, 20.0]
-    for row in rows:
-        if row["part"] == "unary":
-            unary[row["a"], row["b"]] += row["n"]
-        elif row["part"] == "chain":
-            chain[row["a"], row["b"]] += row["n"]
-        else:
-            agree[row["b"]] += row["n"]
-    # Each feature says how likely the labels are where it is seen; tempered, as features of a node hang together.
-    prior = (unary.sum(axis=0) + 1) / (unary.sum() + OTHER + 1)
-    smooth = unary + SMOOTHING * prior  # a feature never seen says nothing
-    said = np.log(smooth / smooth.sum(axis=1, keepdims=True)) - np.log(prior)
-    together = np.log(chain * chain.sum() / (chain.sum(axis=1, keepdims=True) * chain.sum(axis=0)))
-    return EntityField(said * TEMPER, together * TEMPER, float(max(MIN_SKIP, np.log(agree[1] / agree[0]))))
+                lesson = lesson_of(text)
+                said = [n.label if y is None else y for n, y in lesson]
+                chain, same, alike = edges_of([n for n, _ in lesson])
+                near: list[list[int]] = [[] for _ in lesson]
+                # What a neighbour's label adds to each label, numbered after the features.
+                for shift, edges in ((0, chain), (2, same), (3, alike)):
+                    for a, b in edges:
+                        near[b].append(_FEATURES + shift * (OTHER + 1) + said[a])
+                        near[a].append(_FEATURES + (1 if shift == 0 else shift) * (OTHER + 1) + said[b])
+                for (node, y), around in zip(lesson, near, strict=True):
+                    if y is not None:
+                        seen[tuple(sorted(node.features + around)), y] += 1
+            yield pd.DataFrame([(list(k), y, n) for (k, y), n in seen.items()], columns=["slots", "label", "n"])
+
+    taught = texts.filter(_share("text", share)).mapInPandas(teach, "slots array<int>, label int, n long")
+    taught = cut_lineage(taught.groupBy("slots", "label").agg(F.sum("n").alias("n")), "lessons")
+    rows = taught.filter(_share("slots", min(1.0, nodes / max(1, taught.count())))).collect()
+    rows.sort(key=lambda r: (r["slots"], r["label"]))
+    return _trained([r["slots"] for r in rows], np.array([r["label"] for r in rows], dtype=int), np.array([r["n"] for r in rows], dtype=float))
+
+
+def _share(column: str, share: float) -> F.Column:
+    return F.shiftrightunsigned(F.xxhash64(column), 1) <= F.lit(min(int(share * 2**63), 2**63 - 1))
+
+
+def _trained(slots: list[list[int]], labels: np.ndarray, times: np.ndarray) -> EntityField:
+    """Weights of greatest pseudo-likelihood, less a penalty on large ones, by gradient steps of adapted size."""
+    k = OTHER + 1
+    if not slots:
+        none = np.zeros((_FEATURES, k))
+        none[_feature("bias"), OTHER] = 10.0
+        return EntityField(none, np.zeros((k, k)), 0.0, 0.0)
+    row = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
+    slot = np.concatenate([np.array(x) for x in slots])
+    unary, chain, agree = np.zeros((_FEATURES, k)), np.zeros((k, k)), np.zeros(2)
+    parts = [unary, chain, agree]
+    first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
+    size = _FEATURES + 4 * k
+    for step in range(1, STEPS + 1):
+        # One table of what each slot adds to each label; the bonds are shared by both ends.
+        table = np.concatenate([unary, chain, chain.T, np.eye(k) * agree[0], np.eye(k) * agree[1]])
+        score = np.zeros((len(slots), k))
+        np.add.at(score, row, table[slot])
+        off = _softmax(score)
+        off[np.arange(len(labels)), labels] -= 1.0
+        off *= times[:, None]
+        down = np.zeros((size, k))
+        np.add.at(down, slot, off[row])
+        left, right, same, alike = (down[_FEATURES + i * k :][:k] for i in range(4))
+        slopes = [down[:_FEATURES], left + right.T, np.array([np.trace(same), np.trace(alike)])]
+        for at, (part, slope) in enumerate(zip(parts, slopes, strict=True)):
+            slope = (slope + RIDGE * part) / times.sum()
+            first[at] = 0.9 * first[at] + 0.1 * slope
+            second[at] = 0.999 * second[at] + 0.001 * slope**2
+            part -= RATE * (first[at] / (1 - 0.9**step)) / (np.sqrt(second[at] / (1 - 0.999**step)) + 1e-12)
+    return EntityField(unary, chain, float(agree[0]), float(agree[1]))
 
 
 def find_pii(docs: DataFrame, field: EntityField) -> DataFrame:

@@ -1,6 +1,10 @@
+import itertools
 import random
 import re
 
+import numpy as np
+import pytest
+
 from postlytics.llm import pii
 
 PLAIN = {
@@ -43,12 +47,18 @@ def test_linear_on_very_long_tokens():
         pii.base_spans(text)
 
 
-def trained(spark):
-    return pii.fit_field(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    field = pii.EntityField(np.zeros((pii._FEATURES, 5)), np.zeros((5, 5)), 1.0, 1.0)
+    for text in ("ab.c" * 100_000 + " at x.y", "1 at a.b " * 10_000, "555-4136, " * 10_000):
+        nodes = pii.nodes_of(text, [])
+        assert len(field.marginals(nodes)) == len(nodes) > 0
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    return pii.fit_field(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
 
 
-def test_repeated_entities_are_labelled_alike(spark):
-    field = trained(spark)
+def test_repeated_entities_are_labelled_alike(field):
     text = "Call +1 (654) 555-4136 now, or dial 654 555 4136. Write bob.x@mail.example.com, that is bob.x at mail dot example dot com."
     base, added = field.spans(text)
     assert {text[s.start : s.end] for s in added} == {"654 555 4136", "bob.x at mail dot example dot com"}
@@ -56,22 +66,81 @@ def test_repeated_entities_are_labelled_alike(spark):
     assert pii.redact(text, base + added) == "Call <phone> now, or dial <phone>. Write <email>, that is <email>."
 
 
-def test_clean_texts_stay(spark):
-    field = trained(spark)
-    for text in ("Order 12345678 of 2024-10-12, see 12345678.", "", None, "no digits at all. at home", "3.14159265 and 1000000", "version 10.300.2.1", "4044139746238705 is no card"):
+def test_entities_without_a_base_span(field):
+    name = "bob" + ".x" * 60
+    for text, wanted in [
+        (f"(654) 555-4136 was on the note, and there is {name} at mail dot example dot com", ["(654) 555-4136", f"{name} at mail dot example dot com"]),
+        ("(654) 555-4136 stands beside +1 654 555 4137", ["(654) 555-4136"]),
+        ("pay by 4044.1397.4623.8704 now", ["4044.1397.4623.8704"]),
+    ]:
+        _, added = field.spans(text)
+        assert [text[s.start : s.end] for s in added] == wanted
+    assert field.same > 0 and field.alike > 0
+
+
+def test_held_out_rewritings_are_found(spark, field):
+    """Entities of texts not learnt from, written in ways of their kind, against plain numbers."""
+    rng = random.Random(3)
+    right = wrong = 0
+    for _ in range(300):
+        d = "".join(rng.choice("0123456789") for _ in range(10))
+        said = rng.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"{'abcdefghij'[int(d[0])]}{d[1:3]} at mail dot example dot com"])
+        right += len(field.spans(f"it read {said} there")[1]) == 1
+        other = rng.choice([d, d[:8], f"20{d[:2]}-1{d[2]}-2{d[3]}", f"{d[0]}.{d[1:]}", f"bob at {d[:3]}.com"])
+        wrong += len(field.spans(f"it read {other} there")[1])
+    assert right >= 285 and wrong <= 6
+
+
+def test_marginals_equal_enumeration(field):
+    rng = np.random.default_rng(5)
+    gap = "x" * 200
+    texts = {
+        "555-4136-22 and 555-7777-11 and 12-34-56-78": 1e-6,  # a chain
+        f"555-4136-22 {gap} 555-4136-22 {gap} +1 555-4136-23": 1e-6,  # skips that form a tree
+        "555-4136-22, 555-4136-23, +1 654 555-4136-22": 0.03,  # loops
+    }
+    for text, close in texts.items():
+        nodes = pii.nodes_of(text, pii.base_spans(text))
+        loose = pii.EntityField(rng.normal(size=(pii._FEATURES, 5)) * 0.3, rng.normal(size=(5, 5)) * 0.5, 0.6, 0.3)
+        chain, same, alike = pii.edges_of(nodes)
+        total = np.zeros((len(nodes), 5))
+        for labels in itertools.product(range(5), repeat=len(nodes)):
+            if any(n.label not in (None, y) for n, y in zip(nodes, labels)):
+                continue
+            score = sum(loose.unary[n.features, y].sum() for n, y in zip(nodes, labels) if n.label is None)
+            score += sum(loose.chain[labels[a], labels[b]] for a, b in chain)
+            score += sum(loose.same * (labels[a] == labels[b]) for a, b in same) + sum(loose.alike * (labels[a] == labels[b]) for a, b in alike)
+            total[np.arange(len(nodes)), labels] += np.exp(score)
+        assert len(nodes) == 3 and np.allclose(loose.marginals(nodes), total / total.sum(axis=1, keepdims=True), atol=close)
+
+
+def test_clean_texts_stay(field):
+    for text in (
+        "Order 12345678 of 2024-10-12, see 12345678.",
+        "",
+        None,
+        "no digits at all. at home",
+        "3.14159265 and 1000000",
+        "version 10.300.2.1",
+        "4044139746238705 is no card",
+        "we looked at home.Then left",
+        "on 12.10.2024 - 13.10.2024 we saw 1 000 000 000 stars",
+    ):
         assert field.spans(text) == ([], [])
         assert pii.redact(text, []) == text
 
 
-def test_odd_documents(spark, documents, nothing):
-    field = trained(spark)
+def test_odd_documents(field, documents, nothing):
     found = pii.find_pii(documents, field).collect()
     assert sorted(str(r.doc_id) for r in found) == sorted(str(r.doc_id) for r in documents.collect())
     assert all(r.base == r.spans == "" for r in found)
     assert pii.find_pii(nothing, field).count() == 0
     redacted = pii.redact_documents(documents, field)
     assert sorted(map(str, redacted.collect())) == sorted(map(str, documents.collect()))
-    assert pii.fit_field(nothing).spans("x@y.z")[0] == [("email", 0, 5)]
+    taught = pii.fit_field(documents)  # no base span in it
+    assert taught.spans("(654) 555-4136")[1] == []
+    empty = pii.fit_field(nothing)
+    assert empty.spans("x@y.z, (654) 555-4136") == ([("email", 0, 5)], [])
 
 
 def test_overlapping_spans_go_as_one():
