@@ -3,9 +3,9 @@
 Equal vectors are one, and vectors within half the linking angle of their
 cluster's centre are one ball: they all link with each other, so that a crowd of
 near copies is a single node of the graph. Nodes go to the shards of their nearest
-centres; each shard builds a graph of its own, the lists of a node's neighbours
-are united, and every shard searches from its medoid for each of its nodes, going on
-through all that is in range. Found pairs are verified in double precision.
+centres; each shard builds a graph of its own by inserting its nodes in batches, the lists
+of a node's neighbours are united, and every shard searches from its medoid, and from the node
+itself, for each of its nodes, with a beam that widens while all it holds is in range. Found pairs are verified in double precision.
 """
 
 from __future__ import annotations
@@ -29,9 +29,17 @@ SAMPLE = 20_000
 OVERLAP = 3
 #: Shards over so many nodes are dealt with in pairs of blocks of half that size.
 LARGEST = 4096
-DEGREE = 24
+DEGREE = 16
 ALPHA = 1.2
-BEAM = 32
+BEAM = 16
+#: The beam of balls, whose range is wide; there are no more of them than centres.
+BALL_BEAM = 256
+#: Rows inserted into a graph at once, at most.
+BATCH = 256
+#: Rows of its batch that are candidates of a row.
+MATES = 8
+#: Lists of a searched graph that name a row, at least, as far as its own names so many.
+FEWEST = 16
 #: Vectors compared with all rows after each search; shards of a node at most.
 AUDITED = 1000
 MOST_OVERLAP = 12
@@ -72,64 +80,158 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return centres[kept]
 
 
-def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
-    """For each row its neighbours, nearest first, but for those much nearer to a chosen one than to the row."""
-    near = x @ x.T
-    np.fill_diagonal(near, -2.0)
-    wide = min(len(x) - 1, 3 * degree)
-    if wide <= 0:
-        return [np.zeros(0, dtype=int) for _ in x]
-    order = np.argpartition(-near, wide - 1, axis=1)[:, :wide]
-    out = []
-    for at in range(len(x)):
-        found = order[at][np.argsort(-near[at, order[at]], kind="stable")]
-        alive = np.ones(len(found), dtype=bool)
-        chosen = []
-        distance = 1 - near[at, found]
-        while len(chosen) < degree and alive.any():
-            first = int(alive.argmax())
-            chosen.append(found[first])
-            alive[first] = False
-            alive &= alpha * (1 - near[found[first], found]) > distance
-        out.append(np.array(chosen))
+def _chunks(n: int, values: int) -> Iterator[slice]:
+    """Slices of ``n`` rows of so many numbers each that fit a few tens of megabytes."""
+    step = max(1, (1 << 23) // max(1, values))
+    return (slice(at, min(n, at + step)) for at in range(0, n, step))
+
+
+def beam_search(
+    x: np.ndarray, radius: np.ndarray, graph: np.ndarray, start: int, asked: np.ndarray, beam: int, known: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each row in ``asked`` the ``beam`` nearest rows that it finds, and how far off their balls are.
+
+    ``graph`` holds neighbours, padded with -1. All rows search at once: from ``start``, and from themselves if they
+    are ``known`` to the graph, each opens the nearest row it keeps and has not opened, until all rows it keeps are open.
+    """
+    ids = np.full((len(asked), beam), -1)
+    away = np.full((len(asked), beam), np.inf, dtype=np.float32)
+    for part in _chunks(len(asked), graph.shape[1] * (x.shape[1] + beam)):
+        at = asked[part]
+        kept, far, todo = ids[part], away[part], np.zeros((len(at), beam), dtype=bool)
+        kept[:, 0], todo[:, 0] = start, True
+        far[:, 0] = np.arccos(np.clip(x[at] @ x[start], -1, 1)) - radius[start]
+        if known and beam > 1:
+            own = at != start
+            kept[own, 1], far[own, 1], todo[own, 1] = at[own], -radius[at[own]], True
+        active = np.arange(len(at))
+        while len(active):
+            best = np.where(todo[active], far[active], np.inf).argmin(axis=1)
+            go = todo[active, best]
+            active, best = active[go], best[go]
+            if not len(active):
+                break
+            todo[active, best] = False
+            reached = graph[kept[active, best]]
+            mine = kept[active]
+            fresh = (reached >= 0) & ~(reached[:, :, None] == mine[:, None, :]).any(axis=2)
+            sims = np.matmul(x[reached], x[at[active], :, None])[:, :, 0]
+            turn = np.where(fresh, np.arccos(np.clip(sims, -1, 1)) - radius[reached], np.inf).astype(np.float32)
+            both = np.concatenate((far[active], turn), axis=1)
+            top = np.argpartition(both, beam - 1, axis=1)[:, :beam]
+            far[active] = np.take_along_axis(both, top, axis=1)
+            kept[active] = np.take_along_axis(np.concatenate((mine, np.where(fresh, reached, -1)), axis=1), top, axis=1)
+            todo[active] = np.take_along_axis(np.concatenate((todo[active], fresh), axis=1), top, axis=1)
+    return ids, away
+
+
+def robust_prune(x: np.ndarray, rows: np.ndarray, near: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+    """For each of ``rows`` at most ``degree`` of its candidates ``near`` (padded with -1).
+
+    The nearest come first; candidates much nearer to a chosen one than to the row are left out.
+    """
+    out = np.full((len(rows), degree), -1)
+    for part in _chunks(len(rows), near.shape[1] * (x.shape[1] + near.shape[1])):
+        found = np.sort(near[part], axis=1)
+        twice = np.concatenate((np.zeros((len(found), 1), dtype=bool), found[:, 1:] == found[:, :-1]), axis=1)
+        alive = (found >= 0) & ~twice & (found != rows[part, None])
+        off = np.where(alive, 1 - np.matmul(x[found], x[rows[part], :, None])[:, :, 0], np.inf)
+        order = np.argsort(off, axis=1, kind="stable")
+        found, off, alive = (np.take_along_axis(v, order, axis=1) for v in (found, off, alive))
+        theirs = x[found]
+        apart = alpha * (1 - np.matmul(theirs, theirs.transpose(0, 2, 1)))
+        every = np.arange(len(found))
+        for turn in range(min(degree, near.shape[1])):
+            first = alive.argmax(axis=1)
+            some = alive[every, first]
+            if not some.any():
+                break
+            out[part][some, turn] = found[every, first][some]
+            alive[every, first] = False
+            alive &= ~some[:, None] | (apart[every, first] > off)
     return out
 
 
-def search_range(x: np.ndarray, graph: np.ndarray, start: int, least: np.ndarray, beam: int = BEAM) -> np.ndarray:
-    """Which rows each row finds at a cosine of ``least`` or more.
+def _grouped(keys: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and for each its first ``most`` values, padded with -1."""
+    order = np.argsort(keys, kind="stable")
+    names, first, counts = np.unique(keys[order], return_index=True, return_counts=True)
+    place = np.arange(len(keys)) - np.repeat(first, counts)
+    out = np.full((len(names), min(most, int(counts.max(initial=1)))), -1)
+    fits = place < out.shape[1]
+    out[np.repeat(np.arange(len(names)), counts)[fits], place[fits]] = values[order][fits]
+    return names, out
+
 
-    ``graph`` holds neighbours, padded with -1. All rows search at once: from ``start`` each
-    opens the best row it has seen and not opened, while that is among its ``beam`` best or in its range.
+def build_graph(x: np.ndarray, radius: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> np.ndarray:
+    """Neighbours of each row, padded with -1: rows are inserted in batches.
+
+    Each batch searches the graph of those before it, and its rows are candidates of each other; what the rows
+    choose is told to the chosen, which choose anew once they have half as many again as ``degree``.
+    """
+    # Some room, so that not every new neighbour makes a row choose anew.
+    graph = np.full((len(x), degree + degree // 2), -1)
+    start = _medoid(x)
+    order = np.random.default_rng(0).permutation(len(x))
+    order = np.concatenate(([start], order[order != start]))
+    at = 1
+    while at < len(x):
+        batch = order[at : at + min(at + 15, BATCH)]
+        at += len(batch)
+        found, _ = beam_search(x, radius, graph, start, batch, beam)
+        mates = x[batch] @ x[batch].T
+        np.fill_diagonal(mates, -2.0)
+        wide = min(len(batch), MATES)
+        found = np.concatenate((found, batch[np.argpartition(-mates, wide - 1, axis=1)[:, :wide]]), axis=1)
+        chosen = robust_prune(x, batch, found, degree)
+        graph[batch, :degree] = chosen
+        told = chosen >= 0
+        # A row's own neighbours come first; the nearest of those that chose it after them.
+        by = np.repeat(batch, told.sum(axis=1))
+        whom = chosen[told]
+        nearest = np.argsort(-np.einsum("ij,ij->i", x[by], x[whom]), kind="stable")
+        names, new = _grouped(whom[nearest], by[nearest], degree)
+        # Rows of a batch may have chosen each other.
+        new = np.where((new[:, :, None] == graph[names][:, None, :]).any(axis=2), -1, new)
+        theirs = np.concatenate((graph[names], new), axis=1)
+        few = (theirs >= 0).sum(axis=1) <= graph.shape[1]
+        graph[names[few]] = -np.sort(-theirs[few], axis=1)[:, : graph.shape[1]]
+        graph[names[~few]] = -1
+        graph[names[~few], :degree] = robust_prune(x, names[~few], theirs[~few], degree)
+    return graph
+
+
+def _medoid(x: np.ndarray) -> int:
+    return int((x @ x.mean(axis=0)).argmax())
+
+
+def search_range(x: np.ndarray, radius: np.ndarray, graph: np.ndarray, angle: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (a below b) whose balls come within ``angle`` of each other, as far as the search of either finds them.
+
+    Rows that find nothing but rows in range search on with twice the beam.
     """
-    n = len(x)
-    seen = np.full((n, n), -2.0, dtype=np.float32)
-    opened = np.zeros((n, n), dtype=bool)
-    seen[:, start] = x @ x[start]
-    active = np.arange(n)
-    while len(active):
-        open_to = np.where(opened[active], -2.0, seen[active])
-        best = open_to.argmax(axis=1)
-        value = open_to[np.arange(len(active)), best]
-        beam_at = min(beam, n) - 1
-        border = -np.partition(-seen[active], beam_at, axis=1)[:, beam_at]
-        go = (value > -2.0) & ((value >= border) | (value >= least[active, best]))
-        active, best = active[go], best[go]
-        opened[active, best] = True
-        reached = graph[best]
-        sims = np.einsum("ij,ikj->ik", x[active], x[reached])
-        rows = np.repeat(active, graph.shape[1])
-        fine = (reached >= 0).ravel()
-        seen[rows[fine], reached.ravel()[fine]] = sims.ravel()[fine]
-    np.fill_diagonal(seen, -2.0)
-    found = seen >= least - 1e-6
-    return found | found.T
-
-
-def _roots(linked: np.ndarray) -> np.ndarray:
-    """For each row the first row of its component."""
-    root = np.arange(len(linked))
+    start, ball = _medoid(x), radius > 0
+    pairs = np.zeros(0, dtype=np.int64)
+    for asked, wide in ((np.flatnonzero(~ball), beam), (np.flatnonzero(ball), BALL_BEAM)):
+        wide = min(wide, len(x))
+        while len(asked):
+            ids, away = beam_search(x, radius, graph, start, asked, wide, known=True)
+            near = (ids >= 0) & (away <= angle + radius[asked, None] + 1e-5)
+            rows, cols = np.nonzero(near)
+            a, b = asked[rows], ids[rows, cols]
+            pairs = np.union1d(pairs, np.minimum(a, b)[a != b] * len(x) + np.maximum(a, b)[a != b])
+            asked = asked[near.all(axis=1)] if wide < len(x) else asked[:0]
+            wide = min(2 * wide, len(x))
+    return pairs // len(x), pairs % len(x)
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` rows the first row of its component under the links between ``a`` and ``b``."""
+    root = np.arange(n)
     while True:
-        new = np.minimum(root, np.where(linked, root[None, :], len(root)).min(axis=1))
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
         new = new[new]
         if (new == root).all():
             return root
@@ -244,9 +346,9 @@ def _search(same: DataFrame, width: int, count: int, cosine: float, overlap: int
     placed = cut_lineage(_blocks(_shards(nodes, centres, width, overlap)), "placed")
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
-        lists = robust_prune(_unit(_matrix(part["x"], width)))
-        ids = part["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "near": [ids[at].tolist() for at in lists]})
+        x, radius, ids = _unit(_matrix(part["x"], width)).astype(np.float32), part["radius"].to_numpy(), part["id"].to_numpy()
+        graph = build_graph(x, radius)
+        return pd.DataFrame({"id": ids, "near": [ids[row[row >= 0]].tolist() for row in graph]})
 
     lists = placed.groupBy("key").applyInPandas(build, "id long, near array<long>")
     united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
@@ -258,22 +360,19 @@ def _search(same: DataFrame, width: int, count: int, cosine: float, overlap: int
         x = _unit(_matrix(part["x"], width))
         place = {v: at for at, v in enumerate(ids.tolist())}
         near = [[place[v] for v in row if v in place] for row in part["near"]]
-        # Both ways, as lists are cut on either side.
-        for at, row in enumerate([list(r) for r in near]):
+        # Rows that few lists name are told to those in their own, so that a search can reach them.
+        named = np.bincount(np.array([v for row in near for v in row], dtype=np.int64), minlength=len(near))
+        for at, row in [(at, list(near[at])) for at in np.flatnonzero(named < FEWEST)]:
             for other in row:
-                near[other].append(at)
-        wide = max(1, max(map(len, near)))
-        graph = np.full((len(ids), wide), -1)
+                if at not in near[other]:
+                    near[other].append(int(at))
+        graph = np.full((len(ids), max(1, max(map(len, near)))), -1)
         for at, row in enumerate(near):
             graph[at, : len(row)] = row
-        reach = np.minimum(np.pi, angle + radius[:, None] + radius[None, :])
-        least = np.where(reach > angle, np.cos(reach), cosine)
-        medoid = int((x @ x.mean(axis=0)).argmax())
-        linked = search_range(x, graph, medoid, least)
+        a, b = search_range(x.astype(np.float32), radius, graph, angle)
         shards = part["shards"].map(frozenset)
         block, blocks = part["block"].to_numpy(), int(part["blocks"].iloc[0])
         lonely = blocks > 1 and len(np.unique(block)) > 1
-        a, b = np.nonzero(np.triu(linked, 1))
         here = int(part["shard"].iloc[0])
         # Each pair counts where it meets first: in the first shard, and there in the blocks of its two sides.
         ours = np.array([min(shards[i] & shards[j]) == here and not (lonely and block[i] == block[j]) for i, j in zip(a, b, strict=True)], dtype=bool)
@@ -290,9 +389,7 @@ def _search(same: DataFrame, width: int, count: int, cosine: float, overlap: int
         links = np.zeros(len(ids), dtype=np.int64)
         np.add.at(links, a[sure], weight[b[sure]])
         np.add.at(links, b[sure], weight[a[sure]])
-        exact = np.zeros((len(ids), len(ids)), dtype=bool)
-        exact[a[sure], b[sure]] = exact[b[sure], a[sure]] = True
-        counted = pd.DataFrame({"id": ids, "links": links, "other": ids[_roots(exact)], "open": False})
+        counted = pd.DataFrame({"id": ids, "links": links, "other": ids[_roots(len(ids), a[sure], b[sure])], "open": False})
         open_ = pd.DataFrame({"id": ids[a[maybe]], "links": 0, "other": ids[b[maybe]], "open": True})
         return pd.concat([counted[links > 0], open_], ignore_index=True)
 

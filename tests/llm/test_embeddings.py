@@ -84,3 +84,47 @@ def test_every_search_is_audited(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="12 shards"):
         embeddings.link_vectors(df)
     assert len(audits) == 3
+
+
+def shard(seed):
+    """400 single rows, 100 pairs and a crowd of 150, whose members all link."""
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(100, 32))
+    crowd = rng.normal(size=32) + rng.normal(size=(150, 32)) * 0.05
+    x = embeddings._unit(np.concatenate([rng.normal(size=(400, 32)), middles, middles + rng.normal(size=(100, 32)) * 0.05, crowd]))
+    return x[rng.permutation(len(x))].astype(np.float32)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_a_graph_finds_what_comparing_all_finds(seed):
+    x = shard(seed)
+    graph = embeddings.build_graph(x, np.zeros(len(x)))
+    assert graph.shape == (len(x), embeddings.DEGREE * 3 // 2)
+    for at, row in enumerate(graph):
+        row = row[row >= 0]
+        assert len(row) and at not in row and len(set(row)) == len(row)
+    a, b = embeddings.search_range(x, np.zeros(len(x)), graph, float(np.arccos(0.95)))
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    close = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1)), strict=True)}
+    assert len(found) == len(a) and all(i < j for i, j in found)
+    assert len(close) > 11_000 and len(found & close) >= 0.999 * len(close)
+    assert all(x[i] @ x[j] >= 0.95 - 1e-4 for i, j in found)
+
+
+def test_rows_of_wide_balls_are_found():
+    """A ball at twice the angle whose members reach into the range."""
+    turn = np.array([0.0, 0.6, 0.3, 1.2])
+    x = np.stack([np.cos(turn), np.sin(turn)], axis=1).astype(np.float32)
+    radius = np.array([0.0, 0.29, 0.0, 0.0])
+    a, b = embeddings.search_range(x, radius, embeddings.build_graph(x, radius), float(np.arccos(0.95)))
+    assert list(zip(a, b, strict=True)) == [(0, 1), (0, 2), (1, 2), (1, 3)]
+
+
+def test_pruned_lists():
+    turn = np.array([0.0, 0.1, 0.12, -0.2, 0.0])
+    x = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+    near = np.array([[1, 2, 3, 0, 1, -1]])
+    assert embeddings.robust_prune(x, np.array([0]), near, 3).tolist() == [[1, 3, -1]]
+    assert embeddings.robust_prune(x, np.array([0]), near[:, :0], 3).tolist() == [[-1] * 3]
+    one = embeddings.build_graph(x[:1], np.zeros(1))
+    assert (one == -1).all() and embeddings.search_range(x[:1], np.zeros(1), one, 0.3)[0].tolist() == []
