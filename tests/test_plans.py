@@ -105,3 +105,20 @@ def test_staging_needs_a_shared_folder_on_a_cluster(monkeypatch):
         shared_folder(Session)
     Conf.get = staticmethod(lambda key, default: "hdfs://a/x/" if key == "spark.checkpoint.dir" else default)
     assert shared_folder(Session) == "hdfs://a/x"
+
+
+def test_staging_tries_out_a_cluster_folder_on_local_disks(spark, tmp_path, monkeypatch):
+    """Every query that stages failed on a cluster whose machines share such a folder."""
+    get = spark.conf.get
+
+    def name(folder):
+        monkeypatch.setattr(spark.conf, "get", lambda key, *other: f"file:{folder}" if key == "spark.checkpoint.dir" else get(key, *other))
+
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    name(tmp_path / "shared")
+    assert cut_lineage(spark.range(3), "kept").count() == 3
+    assert [p.name.split("-")[0] for p in (tmp_path / "shared").iterdir() if p.is_dir()] == ["kept"]
+    (tmp_path / "none").write_text("")
+    name(tmp_path / "none")
+    with pytest.raises(ValueError, match="not all machines"):
+        cut_lineage(spark.range(3), "kept")
