@@ -91,7 +91,7 @@ OTHERS = [
     "SPDX-License-Identifier: MPL-2.0",
     "Distributed under the terms of its own licence, see the file COPYING.",
 ]
-#: Sentences without any of these are no notices: stems of the words that templates are about, in some languages, and short names.
+#: What sentences are told apart by before they are learnt from, so that prose with one is: stems of the words that templates are about, in some languages, and short names.
 ANCHORS = (
     "licen", "lizen", "copyright", "\u00a9", "copyleft", "rights", "redistribut", "permission", "warrant", "gnu", "gpl", "cc by", "cc-by", "cc0",
     "creative commons", "public domain", "domaine public", "dominio p", "gemeinfrei", "spdx", "derechos", "droits", "rechte vorbehalten",
@@ -124,10 +124,11 @@ def _grams(words) -> F.Column:
     return F.array_distinct(F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words))
 
 
-def paragraphs(docs: DataFrame, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
-    """(doc_id, paragraph, sentence, body): sentences of ``docs`` with an anchor, by paragraph and place in it, from 0.
+def paragraphs(docs: DataFrame, anchors: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, paragraph, sentence, body): sentences of ``docs``, by paragraph and place in it, from 0.
 
-    A paragraph is a line with the lines that go on in the middle of its sentence. Without ``anchors`` all sentences are given.
+    A paragraph is a line with the lines that go on in the middle of its sentence. All sentences are given, or those
+    with one of ``anchors`` if there are any.
     """
     whole = F.regexp_replace("text", WRAP, " ")
     lines = docs.filter(_anchored("text", anchors)).select("doc_id", F.posexplode(F.split(whole, "\n")).alias("paragraph", "line"))
@@ -138,7 +139,8 @@ def paragraphs(docs: DataFrame, anchors: tuple[str, ...] = ANCHORS) -> DataFrame
 def _templates(spark: SparkSession) -> DataFrame:
     """(family, words, own): templates with the words that no other family's templates have."""
     rows = [(family, text) for family, texts in TEMPLATES.items() for text in texts]
-    said = spark.createDataFrame(rows, "family string, body string").select("family", "body", _words(F.col("body")).alias("words"))
+    # Fixed and few: in one partition they are grouped and joined without shuffles.
+    said = spark.createDataFrame(rows, "family string, body string").coalesce(1).select("family", "body", _words(F.col("body")).alias("words"))
     word = said.select("body", "family", F.explode(F.array_distinct("words")).alias("word"))
     alone = word.withColumn("families", F.size(F.collect_set("family").over(Window.partitionBy("word")))).filter("families = 1 AND word RLIKE '[a-z]'")
     own = alone.groupBy("body").agg(F.sort_array(F.collect_set("word")).alias("own"))
@@ -147,7 +149,7 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 def _others(spark: SparkSession) -> DataFrame:
     """(family, words): notices of other families."""
-    said = spark.createDataFrame([(text,) for text in OTHERS], "body string")
+    said = spark.createDataFrame([(text,) for text in OTHERS], "body string").coalesce(1)
     return said.select(F.lit(UNKNOWN).alias("family"), _words(F.col("body")).alias("words"))
 
 
@@ -163,6 +165,12 @@ def _made_up(spark: SparkSession) -> DataFrame:
     return _others(spark).unionByName(short.select(F.lit(UNKNOWN).alias("family"), other.alias("words")))
 
 
+def _notices(spark: SparkSession) -> DataFrame:
+    """One row: all notices that are learnt from, fixed and few, as ``_overlap`` takes them."""
+    notices = _templates(spark).select("words").unionByName(_made_up(spark).select("words")).select(_grams(F.col("words")).alias("grams"))
+    return notices.agg(F.collect_set(F.struct("grams", F.array().cast("array<string>").alias("own"))))
+
+
 def _template_cuts(spark: SparkSession) -> DataFrame:
     """(family, words): templates, and their beginnings and ends of six words and more, as notices are often cut."""
     n = F.size("words")
@@ -223,8 +231,7 @@ def fit_licences(docs: DataFrame, sample: int = SAMPLE) -> LicenceModel:
     drawn = F.get(anchors, F.pmod(F.xxhash64("words"), F.lit(7)))
     hard = none.filter(F.size("words") > 3).select("family", F.concat(F.slice("words", 1, 3), F.array(drawn), F.slice("words", 4, 10)).alias("words"))
     # So does prose that has an anchor and is far from all notices.
-    notices = _templates(spark).select("words").unionByName(_made_up(spark).select("words")).select(_grams(F.col("words")).alias("grams"))
-    notices = notices.agg(F.collect_set(F.struct("grams", F.array().cast("array<string>").alias("own"))))
+    notices = _notices(spark)
     far = loud.filter(_share("body", min(1.0, sample / max(1, loud.count())))).withColumn("grams", _grams(F.col("words")))
     far = far.withColumn("templates", notices.scalar()).filter(_overlap("templates", "grams") < FAR).select(F.lit(NONE).alias("family"), "words")
     examples = ends.unionByName(none).unionByName(hard).unionByName(far).filter(F.size("words") > 0)
@@ -269,11 +276,13 @@ def _named(examples: DataFrame, model: LicenceModel) -> DataFrame:
     scored = model.stages.transform(examples.withColumn("label", F.lit(0.0))).withColumn("p", vector_to_array("probability"))
     names = F.array(*[F.lit(f) for f in model.families])
     best = F.array_max(F.transform("p", lambda x, i: F.struct(x.alias("p"), (-i).alias("at"))))
-    family = F.get(names, -best["at"])
-    out = scored.withColumn("named", F.when(~family.isin(NONE, UNKNOWN), family))
+    family = F.get(names, -F.col("best")["at"])
     none = F.get("p", F.lit(model.families.index(NONE))) if NONE in model.families else F.lit(1.0)
-    out = out.withColumn("notice", 1 - none)
-    return out.withColumn("probability", F.when(F.col("named").isNotNull(), best["p"])).drop("features", "rawPrediction", "prediction", "p", "label")
+    # Generated, so that filters on them do not bring all of the above before each of their own mentions.
+    scored = scored.select(*examples.columns, F.inline(F.array(F.struct("p"))))
+    scored = scored.select(*examples.columns, F.inline(F.array(F.struct(best.alias("best"), (1 - none).alias("notice")))))
+    known = ~family.isin(NONE, UNKNOWN)
+    return scored.withColumns({"named": F.when(known, family), "probability": F.when(known, F.col("best")["p"])}).drop("best")
 
 
 def _compared(named: DataFrame) -> DataFrame:
@@ -283,11 +292,12 @@ def _compared(named: DataFrame) -> DataFrame:
     return named.join(F.broadcast(templates), "named", "left").withColumn("overlap", _overlap("templates", "grams"))
 
 
-def find_licences(docs: DataFrame, model: LicenceModel, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
+def find_licences(docs: DataFrame, model: LicenceModel, anchors: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, paragraph, sentence, family, probability, overlap, body): licence notices of ``docs`` (doc_id, text).
 
     A known family's ``probability`` is the classifier's, its ``overlap`` the share of n-grams in common
-    with its nearest template; both must be high enough. Any other sentence that is surely a notice is of
+    with its nearest template; both must be high enough. Any other sentence that is surely a notice, and has an anchor or
+    enough in common with a notice that was learnt from, is of
     family ``unknown``, with the probability that it is a notice and the overlap with the likeliest known family, or 0. Ties of
     probability go to the first family in alphabetic order. NULL and empty texts
     have none; texts are read whole; repeated rows get equal rows, an empty table
@@ -299,7 +309,8 @@ def find_licences(docs: DataFrame, model: LicenceModel, anchors: tuple[str, ...]
     both = _compared(likely)
     known = (F.col("probability") >= model.least) & (F.col("overlap") >= OVERLAP)
     known = F.coalesce(known, F.lit(False))
-    both = both.filter(known | (F.col("notice") >= model.least_notice))
+    near = _anchored("body") | (_overlap("notices", "grams") >= OVERLAP)
+    both = both.withColumn("notices", _notices(docs.sparkSession).scalar()).filter(known | ((F.col("notice") >= model.least_notice) & near))
     family = F.when(known, F.col("named")).otherwise(UNKNOWN)
     probability = F.when(known, F.col("probability")).otherwise(F.col("notice"))
     place = [F.col("paragraph").cast("long"), F.col("sentence").cast("long")]

@@ -98,3 +98,11 @@ def test_odd_documents(documents, nothing, model):
     untaught = licenses.fit_licences(nothing)
     assert licenses.find_licences(nothing, untaught).count() == 0
     assert {r.family for r in licenses.find_licences(documents, untaught).collect()} <= set(licenses.TEMPLATES)
+
+
+def test_sentences_without_an_anchor_are_scored(spark, model):
+    cut = "any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"
+    docs = spark.createDataFrame([(1, "Some prose here.\n" + cut + "\nMore of this. And more.")], "doc_id long, text string")
+    assert not any(a in cut.lower() for a in licenses.ANCHORS)
+    assert [r.body for r in licenses.paragraphs(docs).orderBy("paragraph", "sentence").collect()] == ["Some prose here.", cut, "More of this.", "And more."]
+    assert [(r.paragraph, r.sentence) for r in licenses.find_licences(docs, model).collect()] == [(1, 0)]
