@@ -111,14 +111,20 @@ def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return owner[at], start[at], (reach - apart)[np.append(at[1:], len(owner)) - 1]
 
 
-#: ``spot`` packs where windows start, how many they are, and whether they are settled: few bytes cross the shuffle.
-_ANCHORS = "route long, whole long, doc long, digest int, spot long"
+#: ``spot`` packs where windows start, how many they are, and whether they are settled; ``kind`` half a hash of all words, beside
+#: the 64 bits of ``route``, and the text's digest: few bytes cross the shuffle.
+_ANCHORS = "route long, kind long, doc long, spot long"
 
 
 def _spot(at: np.ndarray, n: np.ndarray, known: bool) -> np.ndarray:
     return (at.astype(np.int64) << 32) | (n.astype(np.int64) << 1) | int(known)
 
 
+def _kind(whole: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    low = np.uint64((1 << 32) - 1)
+    return ((whole & ~low) | (digest.astype(np.int64).view(np.uint64) & low)).view(np.int64)
+
+
 def _find_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Anchors that are the first of their kind here, and spans that follow an equal one here."""
     for batch in batches:
@@ -150,16 +156,15 @@ def _chunk_anchors(rows: list, words: list, size: list) -> pd.DataFrame:
     # Settled spans are dealt out evenly, whatever they repeat.
     even = mix(digest[owner].astype(np.uint64) * ODD + start.astype(np.uint64)).view(np.int64)
     n = end - start - (WINDOW - 1)
-    known = pd.DataFrame({"route": even, "whole": 0, "doc": doc[owner], "digest": digest[owner], "spot": _spot(start, n, True)})
+    known = pd.DataFrame({"route": even, "kind": _kind(np.uint64(0), digest[owner]), "doc": doc[owner], "spot": _spot(start, n, True)})
     a = {k: v[new] for k, v in a.items()}
     back = np.lexsort((a["at"], a["owner"]))  # neighbours of one text compress well together
     a = {k: v[back] for k, v in a.items()}
     open_ = pd.DataFrame(
         {
             "route": a["key"].view(np.int64),
-            "whole": a["whole"].view(np.int64),
+            "kind": _kind(a["whole"], digest[a["owner"]]),
             "doc": doc[a["owner"]],
-            "digest": digest[a["owner"]],
             "spot": _spot(a["at"], a["n"], False),
         }
     )
@@ -186,9 +191,7 @@ def _window_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doc, digest = (batch[c].to_numpy()[row] for c in ("doc", "digest"))
         even = mix(digest.astype(np.uint64) * ODD + at.astype(np.uint64))
         spot = _spot(at, np.ones(len(at)), False) | later
-        yield pd.DataFrame(
-            {"route": np.where(later, even, one).view(np.int64), "whole": two.view(np.int64), "doc": doc, "digest": digest, "spot": spot}
-        )
+        yield pd.DataFrame({"route": np.where(later, even, one).view(np.int64), "kind": _kind(two, digest), "doc": doc, "spot": spot})
 
 
 def _judged(spans: DataFrame) -> DataFrame:
@@ -196,6 +199,9 @@ def _judged(spans: DataFrame) -> DataFrame:
 
     What a hash has most of was settled where it was found, so that a hash has a row for each batch at most.
     """
+    # Taken apart behind the shuffle.
+    digest = F.shiftright(F.shiftleft("kind", 32), 32).cast("int")
+    spans = spans.repartition("route").select("route", F.shiftright("kind", 32).alias("whole"), "doc", digest.alias("digest"), "spot")
     by_hash = Window.partitionBy("route").orderBy("whole", "doc", "digest", "spot")
     before = F.lag(F.struct("whole", "doc", "digest", "spot")).over(by_hash)
     equal_row = (before["doc"] == F.col("doc")) & (before["digest"] == F.col("digest")) & (before["spot"] == F.col("spot"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+import pandas as pd
 
 from postlytics.llm import substrings
 
@@ -61,3 +62,13 @@ def test_odd_documents(spark, documents, nothing):
     assert ((1 << 53) + 1, 30, 0) in found
     assert sum(r.doc_id == 2 and r.n_removed == 0 for r in rows) == 2
     assert substrings.remove_repeats(nothing).count() == 0
+
+
+def test_few_bytes_cross_the_shuffle():
+    """The shuffle of anchors is most of the disk: no more than four longs a row."""
+    text = " ".join(f"w{i % 37}" for i in range(300))
+    docs = pd.DataFrame({"doc": [1, 2, 3], "digest": np.array([-5, 7, -(1 << 31)], dtype="int32"), "text": [text, text + " more", "x " + text]})
+    found = pd.concat(substrings._find_anchors(iter([docs])))
+    assert found.memory_usage(index=False).sum() <= 32 * len(found) > 0
+    assert [str(t) for t in found.dtypes] == ["int64"] * 4
+    assert set(((found["kind"].to_numpy() << 32) >> 32).tolist()) <= {-5, 7, -(1 << 31)}
