@@ -1,8 +1,8 @@
 import random
 
 import numpy as np
-import pytest
 import pandas as pd
+import pytest
 
 from postlytics.llm import substrings
 
