@@ -122,3 +122,15 @@ def test_staging_tries_out_a_cluster_folder_on_local_disks(spark, tmp_path, monk
     name(tmp_path / "none")
     with pytest.raises(ValueError, match="not all machines"):
         cut_lineage(spark.range(3), "kept")
+
+
+def test_staging_leaves_no_tables_in_the_drivers_temp_folder_of_a_local_cluster(spark, tmp_path, monkeypatch):
+    """Executors of a local-cluster are programs of their own: the warehouse is shared, the driver's temp folder is not."""
+    get = spark.conf.get
+    own = {"spark.checkpoint.dir": None, "spark.sql.warehouse.dir": f"file:{tmp_path}/warehouse"}
+    monkeypatch.setattr(spark.conf, "get", lambda key, *other: own[key] if key in own else get(key, *other))
+    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: None)
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[3,2,1024]")
+    assert shared_folder(spark) == own["spark.sql.warehouse.dir"]
+    assert cut_lineage(spark.range(3), "kept").count() == 3
+    assert [p.name.split("-")[0] for p in (tmp_path / "warehouse").iterdir() if p.is_dir()] == ["kept"]
