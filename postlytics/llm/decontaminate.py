@@ -6,13 +6,12 @@ import string
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlytics.llm.words import ODD
+from postlytics.llm.words import ODD, each_text
 
 #: Eight bytes are one 64-bit number, so that q-grams are compared as they are.
 Q = 8
@@ -210,8 +209,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDIT
 
 
 def _holds_none(index: Broadcast) -> Callable[..., Column]:
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: not index.value.matches(t)).astype(bool)
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        return each_text(texts, lambda t: not index.value.matches(t), pa.bool_())
 
     return clean

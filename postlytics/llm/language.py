@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlytics.llm.words import ODD, ODD_2, mix, per_text
+from postlytics.llm.words import ODD, ODD_2, each_text, mix, per_text
 from postlytics.sources.staging import cut_lineage
 
 UNDETERMINED = "und"
@@ -51,6 +51,22 @@ def gram_hashes(text: str | None) -> list[np.ndarray]:
     return out
 
 
+def gram_counts(texts: pd.Series) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each length, the distinct hashes of the n-grams of ``texts`` and how often they occur.
+
+    Counted by runs of about ``_PIECE`` characters, as a hash takes eight bytes for each character and length.
+    """
+    found: list[list] = [[] for _ in GRAMS]
+    for _, run in texts.groupby(texts.str.len().cumsum() // _PIECE):
+        for out, arrays in zip(found, zip(*map(gram_hashes, run), strict=True), strict=True):
+            out.append(np.unique(np.concatenate(arrays), return_counts=True))
+    for n, counted in zip(GRAMS, found, strict=True):
+        gram, at = np.unique(np.concatenate([g for g, _ in counted]), return_inverse=True)
+        times = np.zeros(len(gram), dtype=np.int64)
+        np.add.at(times, at, np.concatenate([t for _, t in counted]))
+        yield n, gram, times
+
+
 def slots_of(h: np.ndarray) -> list[np.ndarray]:
     h = mix(h)
     return [(h >> np.uint64(20 * k)) & np.uint64(SLOTS - 1) for k in range(HASHES)]
@@ -106,16 +122,16 @@ def fit_languages(docs: DataFrame, sample: int = SAMPLE_DOCS, least_share: float
     counts = {row["lang"]: row["count"] for row in labelled.groupBy("lang").count().collect()}
     languages = sorted(counts)
     # One row for each language: its bit, and the hashes up to which its texts are learnt from.
-    bounds = [(x, b, min(int(min(1.0, sample / counts[x]) * 2**63), 2**63 - 1)) for b, x in enumerate(languages)]
-    bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, number int, bound long"))
+    most = [min(int(min(1.0, sample / counts[x]) * 2**63), 2**63 - 1) for x in languages]
+    bounds = pa.table([pa.array(languages, pa.string()), pa.array(range(len(languages)), pa.int32()), pa.array(most, pa.int64())], ["lang", "number", "bound"])
+    # As Arrow, no Python workers of another kind are started to make it.
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds))
     chosen = labelled.join(bounds, "lang").filter(F.shiftrightunsigned(F.xxhash64("text"), 1) <= F.col("bound")).select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                lengths = zip(*(gram_hashes(t) for t in texts), strict=True)
-                for n, arrays in zip(GRAMS, lengths, strict=True):
-                    gram, times = np.unique(np.concatenate(arrays), return_counts=True)
+                for n, gram, times in gram_counts(texts):
                     yield pd.DataFrame({"lang": lang, "n": n, "gram": gram.view(np.int64), "times": times})
 
     grams = chosen.mapInPandas(count, "lang string, n int, gram long, times long")
@@ -163,9 +179,12 @@ def keep_identified(docs: DataFrame, model: LanguageFilters, least_known: float
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def identified(texts: pd.Series) -> pd.Series:
-        found = [shared.value.predict(t) for t in texts]
-        return pd.Series([lang != UNDETERMINED and known >= least_known for lang, _, known in found], dtype=bool)
+    def known_well(text: str | None) -> bool:
+        lang, _, known = shared.value.predict(text)
+        return lang != UNDETERMINED and known >= least_known
+
+    @F.arrow_udf("boolean")
+    def identified(texts: pa.Array) -> pa.Array:
+        return each_text(texts, known_well, pa.bool_())
 
     return docs.filter(identified("text"))

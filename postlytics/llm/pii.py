@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlytics.llm.spans import Span, joined
-from postlytics.llm.words import per_text
+from postlytics.llm.words import each_text, per_text
 from postlytics.sources.staging import cut_lineage
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -461,8 +461,11 @@ def redact_documents(docs: DataFrame, field: EntityField) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced and all other columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: redact(t, [s for part in shared.value.spans(t) for s in part]), na_action="ignore")
+    def redacted(text: str | None) -> str | None:
+        return None if text is None else redact(text, [s for part in shared.value.spans(text) for s in part])
+
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        return each_text(texts, redacted, pa.string())
 
     return docs.withColumn("text", clean("text"))

@@ -1,3 +1,7 @@
+import tracemalloc
+
+import numpy as np
+import pandas as pd
 import pytest
 
 from postlytics.llm import language
@@ -43,3 +47,16 @@ def test_grams_of_pieces():
 def test_long_text_is_read_whole(model):
     text = "ß " * 600_000 + "the of and that with " * 200_000
     assert model.predict(text)[0] == model.predict("the of and that with " * 200_000)[0]
+
+
+def test_a_batch_is_counted_in_bounded_memory():
+    texts = pd.Series(["the river ran past the old mill " * 40, "", "und das war es", None] * 8_000)
+    tracemalloc.start()
+    counted = list(language.gram_counts(texts[texts.notna()]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = {n: sum(len(language.gram_hashes(t)[i]) for t in texts[:2].tolist() + ["und das war es"]) for i, n in enumerate(language.GRAMS)}
+    assert {n: int(times.sum()) for n, _, times in counted} == {n: x * 8_000 for n, x in whole.items()}
+    assert all(np.all(gram[1:] > gram[:-1]) for _, gram, _ in counted)
+    # All hashes of all lengths at once would be over 200 MB.
+    assert most < 150e6
