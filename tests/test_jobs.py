@@ -4,10 +4,13 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from postlytics.__main__ import main
-from postlytics.plans import jobs
+from postlytics.plans import job_queries, jobs
 from postlytics.sources.centers import read_centers, read_vocabulary, write_centers, write_vocabulary
+from postlytics.sources.posts import read_lines
+from postlytics.sources.staging import cut_lineage, shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -172,3 +175,32 @@ def test_fit_tells_its_users(spark, corpus):
     active = sum(n >= 7 for n in Counter(u for _, u, _ in posts).values())
     assert jobs.cluster_users(spark, paths["tagged"], k=2, min_posts=7, min_occurs=10).users == active
     assert jobs.cluster_users(spark, [], k=3).users == 0
+
+
+def test_jobs_leave_little_on_disk(spark, corpus):
+    """Counts of authors' words go once they are used, and parsed posts are not kept beside them."""
+    folder = shared_folder(spark).removeprefix("file:")
+    before, tagged = set(os.listdir(folder)), corpus[1]["tagged"]
+    fitted = jobs.cluster_users(spark, tagged, k=2, min_posts=7, min_occurs=10, max_iter=2)
+    tokens, users = jobs.analyze_clusters(spark, tagged, fitted.centers, min_posts=7, min_occurs=10, n=3, vocabulary=fitted.vocabulary)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert not left & {"terms", "vectors", "posts"} and {"centers", "predictions"} <= left
+    assert tokens.count() == 6 and users.count() == 6
+
+
+def test_post_files_are_compressed(spark):
+    lines = spark.createDataFrame([(f"word{i % 7} " * 50,) for i in range(300)], "value string")
+    paths = job_queries._files(lines)
+    names = [x for path in paths for x in os.listdir(path.removeprefix("file:")) if x.startswith("part-")]
+    assert names and all(x.endswith(".gz") for x in names)
+    assert sorted(r.value for r in read_lines(spark, paths).collect()) == sorted(r.value for r in lines.collect())
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    """Shuffle files of a written plan go with it, and the session's settings are as before."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, manager = spark.conf.get(key), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    known = manager.shuffleStatuses().size()
+    staged = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().orderBy("k"))
+    assert [r["count"] for r in staged.collect()] == [143] * 6 + [142]
+    assert manager.shuffleStatuses().size() <= known and spark.conf.get(key) == before
